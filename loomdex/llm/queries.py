@@ -8,13 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import bpe, packing, repeated
+from . import bpe, packing, pages, repeated, residue
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    found = pages.assess(table(spark, sf, "pages_index")).where("sound")
+    return found.select("page_id", F.explode("furniture").alias("para_no")).select("page_id", F.col("para_no").cast("long"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, sf, "pages_index"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pages.assess(table(spark, sf, "pages_index")).where("low_quality").select("page_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    src = table(spark, sf, "pages_index").select("page_id", "title", "content.paragraphs")
+    return residue.residue_pages(src).where("residue").select("page_id").distinct()
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    # a page that is residue is no spam case of its own: p4, p5 and p6 exclude one another
+    return pages.assess(table(spark, sf, "pages_index")).where("spam AND NOT residue").select("page_id")
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.token_ids(bpe.one_row_per_key(table(spark, sf, "documents"), "doc_id"))
 
@@ -30,7 +49,7 @@ def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, packed)
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p8_ids, p9_packing)}
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p8_ids, p9_packing)}
 
 SQL: dict[str, str] = {
     "p3_found": """
