@@ -18,10 +18,11 @@ COMMON_WORDS = {
 }
 COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words)
 
-NAMES = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "end_punctuation_words", "common_share", "words_per_line", "short_lines", "odd_words")
+NAMES = ("words", "mean_word_length", "symbol_ratio", "digit_ratio", "end_punctuation", "end_punctuation_words", "common_share", "words_per_line", "short_lines", "odd_words", "comma_words", "item_marks")
 _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"’‘“”«»„…()\-–—]|_")
 _DIGIT = re.compile(r"\d")
 _END = (".", "!", "?", "…", ".”", '."', "»", "”", '"', ")")
+_MARK = re.compile(r"(?:[•*▪◦·–-]|\[ ?[xX]?\]|\]|\[|\d{1,3}[.)])")
 _STRIP = ".,;:!?'\"’‘“”«»„…()[]{}-–—|/*•#<>="
 _WORD = re.compile(r"[^\W\d_]{3,}")
 _COMMON_SETS = {lang: frozenset(words) for lang, words in COMMON_WORDS.items()}
@@ -56,6 +57,8 @@ def text_stats(text: str | None) -> list[float] | None:
         n / len(lines),
         sum(k < 6 for k in sizes) / len(lines),
         1.0 - sum(map(str.isalpha, [w.strip(_STRIP) for w in low])) / n,
+        sum(w[-1] in ",;" for w in words) / n,
+        sum(len(w) < 5 and _MARK.fullmatch(w) is not None for w in words) / n,
     ]
 
 
