@@ -58,11 +58,17 @@ ADDRESSES = [
     re.compile(rf"(?<!\w)(?:улица|ул\.|проспект|просп\.|пр\.|пр-т|переулок|пер\.|набережная|наб\.|шоссе|бульвар|бул\.|площадь|пл\.|проезд|тупик) {_CAP}[\w-]+(?: {_CAP}[\w-]+)*{_AFTER}{_NR}(?!\w)"),
     re.compile(rf"(?<!\w){_CAP}[\w-]+ (?:улица|проспект|переулок|набережная|шоссе|бульвар|площадь|проезд){_AFTER}{_NR}(?!\w)"),
 ]
-_STREET_HINT = re.compile(
-    rf"\d{{1,4}} ?[a-z]?(?: bis| ter)?,? (?:{_CAP}|rue|av|all|imp|boul|bd|pl|chem|quai|cours|route|pass|sq)|(?:stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|chaussee|wall|graben) \d"
-    r"|\b(?:Stra(?:ß|ss)e|Str\.|Allee|Platz|Weg|Gasse|Ring) \d|\b(?:Calle|C/|Av|Plaza|Pza|Paseo|Camino|Traves|Carrera|Ronda|Rua|R\.|Largo|Praça|Estrada|Alameda|Via|Viale|Vicolo|Corso|Piazza|Strada|Borgo)"
-    r"|ул\.|улиц|просп|пр-т|переул|пер\.|набер|наб\.|шосс|бульв|бул\.|площ|пл\.|проезд|тупик"
+_HOUSE = re.compile(r"(?<![\w.:-])\d{1,4}(?!\d)")
+_STREET_BEFORE = re.compile(
+    r"stra(?:ß|ss)e|str\.|gasse|weg|allee|platz|ring|damm|ufer|steig|chaussee|wall|graben|Stra(?:ß|ss)e|Str\.|Allee|Platz|Weg|Gasse"
+    r"|Calle|C/|Av|Plaza|Pza|Paseo|Camino|Traves|Carrera|Ronda|Rua|R\.|Largo|Praça|Estrada|Alameda|Via|Viale|Vicolo|Corso|Piazza|Strada|Borgo"
+    r"|ул\.|улиц|просп|пр\.|пр-т|переул|пер\.|набер|наб\.|шосс|бульв|бул\.|площ|пл\.|проезд|тупик"
 )
+#: characters before a house number in which its street is looked for
+STREET_SPAN = 72
+_AT_SIGN = re.compile(r"[@＠]|[(\[]\s?at\s?[)\]]| at (?=[\w-]+(?:\.\w| dot |\s?[(\[]\s?dot))")
+#: characters around an at sign that an address of e-mail may take
+MAIL_SPAN = 100
 _NAME = rf"(?:{_CAP}{_LOW}+(?:[’'-]{_CAP}?{_LOW}+)*|{_CAP}{{2,}}(?:-{_CAP}{{2,}})*|{_CAP}\.)"
 RUN = re.compile(rf"(?<![\w@.’'-]){_NAME}(?:,? {_NAME}){{1,7}}(?![\w@])")
 _PART = re.compile(_NAME)
@@ -100,8 +106,12 @@ _EXT = re.compile(r"(?:ext|extn|доб|int|poste|x)\.? ?\d", re.I)
 def candidates(text: str) -> list[Span]:
     """Spans that may be personal information; the kind of a number is still open between phone and id."""
     out: list[Span] = []
-    if "@" in text or "＠" in text or "at)" in text or "at]" in text or " at " in text:
-        out += [Span(m.start(), m.end(), "email") for m in EMAIL.finditer(text) if m.end() - m.start() < 200]
+    for m in _AT_SIGN.finditer(text):
+        e = EMAIL.search(text, max(0, m.start() - MAIL_SPAN), m.end() + MAIL_SPAN)
+        while e and e.end() <= m.start():
+            e = EMAIL.search(text, e.end(), m.end() + MAIL_SPAN)
+        if e and e.start() < m.start():
+            out.append(Span(e.start(), e.end(), "email"))
     for m in DIGITS.finditer(text):
         s = m.group()
         if sum(map(str.isdigit, s)) >= 7:
@@ -129,9 +139,15 @@ def candidates(text: str) -> list[Span]:
                 a = parts[h][0]
                 if t - a >= 6 and parts[h][1] not in _ANNOUNCE:
                     out.append(Span(at + a, at + t, "id_number"))
-    if _STREET_HINT.search(text):
-        for r in ADDRESSES:
-            out += [Span(m.start(), m.end(), "address") for m in r.finditer(text)]
+    for m in _HOUSE.finditer(text):
+        at = m.start()
+        for r in ADDRESSES[:2]:
+            if e := r.match(text, at):
+                out.append(Span(at, e.end(), "address"))
+        before = max(0, at - STREET_SPAN)
+        if _STREET_BEFORE.search(text, before, at):
+            for r in ADDRESSES[2:]:
+                out += [Span(e.start(), e.end(), "address") for e in r.finditer(text, before, m.end() + 5) if e.end() >= m.end()]
     for m in RUN.finditer(text):
         parts = [(p.start(), p.end(), p.group()) for p in _PART.finditer(m.group())]
         n, at = len(parts), m.start()
@@ -140,7 +156,7 @@ def candidates(text: str) -> list[Span]:
             for j in range(i + 2, min(n, i + 3) + 1):
                 if all(ok[i:j]) and any(len(p[2]) > 2 for p in parts[i:j]):
                     out.append(Span(at + parts[i][0], at + parts[j - 1][1], "person"))
-    return out
+    return list(dict.fromkeys(out))
 
 
 # --- features ---------------------------------------------------------------------------------------

@@ -100,16 +100,17 @@ class _Maker:
     def address(self) -> str:
         r = self.r
         n = str(r.randint(1, 250)) + (r.choice("abc") if r.random() < 0.3 else "")
-        w = lambda: self.word().capitalize()
+        one = lambda: self.word().capitalize()
+        w = lambda: f"{one()} {one()}" if r.random() < 0.3 else one()
         return r.choice((
             lambda: f"{n} {w()} {r.choice(('Street', 'St', 'Road', 'Rd', 'Avenue', 'Ave', 'Lane', 'Ln', 'Drive', 'Way', 'Close', 'Court'))}",
             lambda: f"{n} {r.choice(('Old', 'North', 'Upper', 'Mill', 'Chapel'))} {w()} {r.choice(('Street', 'St', 'Road', 'Rd', 'Avenue', 'Lane', 'Drive', 'Way', 'Close'))}",
-            lambda: f"{w()}{r.choice(('straße', 'str.', 'gasse', 'weg', 'allee', 'platz'))} {n}",
+            lambda: f"{one()}{r.choice(('straße', 'str.', 'gasse', 'weg', 'allee', 'platz'))} {n}",
             lambda: f"{n}{r.choice(('', ',', ' bis'))} {r.choice(('rue', 'avenue', 'place', 'chemin', 'allée'))} {r.choice(('des ', 'du ', 'de la ', ''))}{w()}",
             lambda: f"{r.choice(('Calle', 'C/', 'Plaza', 'Paseo', 'Camino'))} {r.choice(('de la ', 'de los ', 'del ', 'de las '))}{w()}{r.choice((' ', ', ', ', n.º '))}{n}",
             lambda: f"{r.choice(('Rua', 'Avenida', 'Travessa', 'Largo'))} {r.choice(('da ', 'do ', 'dos '))}{w()}{r.choice((' ', ', ', ', n.º '))}{n}",
             lambda: f"{r.choice(('Via', 'Viale', 'Vicolo', 'Corso'))} {r.choice(('dei ', 'del ', 'della ', ''))}{w()}{r.choice((' ', ', ', ' n. '))}{n}",
-            lambda: f"{r.choice(('улица', 'ул.', 'переулок', 'проспект'))} {r.choice(_RU)}{r.choice(('овая', 'ная', 'ский'))}{r.choice((', ', ', д. ', ', дом '))}{n}",
+            lambda: f"{r.choice(('улица', 'ул.', 'переулок', 'проспект', 'пер.', 'пр.'))} {r.choice(_RU)}{r.choice(('овая', 'ная', 'ский'))}{r.choice((', ', ', д. ', ', дом '))}{n}",
         ))()
 
     def other_number(self) -> str:

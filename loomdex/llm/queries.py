@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import bpe, packing, pages, repeated, residue
+from . import bpe, langid, packing, pages, pii, repeated, residue
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -16,6 +16,25 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", F.explode("furniture").alias("para_no")).select("page_id", F.col("para_no").cast("long"))
 
 
+def _with_languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    src, codes = table(spark, sf, "pages_index"), table(spark, sf, "language_codes")
+    labels = src.select("page_id", langid.normalized_label(F.col("language"), codes).alias("lang"))
+    return pages.assess(src, network=langid.train_on_labels(src, codes)), labels
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    assessed, labels = _with_languages(spark, sf)
+    return langid.misnamed_languages(assessed.where("sound"), labels)
+
+
+def p2_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page and each of its segments with language and confidence."""
+    assessed, _ = _with_languages(spark, sf)
+    return assessed.select("page_id", "page_lang", "page_confidence", F.posexplode_outer("segments").alias("segment", "s")).select(
+        "page_id", "page_lang", "page_confidence", "segment", "s.first_sentence", "s.last_sentence", "s.lang", "s.confidence"
+    )
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, sf, "pages_index"))
 
@@ -49,7 +68,18 @@ def p9_packing(spark: SparkSession, sf: str) -> DataFrame:
     return reduce(DataFrame.unionByName, packed)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p5_found, p6_found, p8_ids, p9_packing)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(bpe.one_row_per_key(table(spark, sf, "documents"), "doc_id"))
+
+
+def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document readable, with personal information replaced by typed placeholders."""
+    return pii.redacted(bpe.one_row_per_key(table(spark, sf, "documents"), "doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p2_found, p2_segments, p3_found, p4_found, p5_found, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
+)}
 
 SQL: dict[str, str] = {
     "p3_found": """
