@@ -1,33 +1,17 @@
-"""Registered queries of the core engine and their DuckDB equivalents."""
+"""All registered queries of the core engine and their DuckDB equivalents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .operators import capping
-from .session import materialize, table
+from .catalog import contributors, urls
 
+_PARTS = [urls, contributors]
 
-def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    records = materialize(capping.hit_records(table(spark, sf, "search_hits")), "hit-records")
-    split = capping.split_by_cap(records, "contributor", "word_count", "hit_id", 1 / 50, "input")
-    return split.where("NOT _keep").select("hit_id")
+QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
 
 
-QUERIES = {"p7_found": p7_found}
-
-SQL: dict[str, str] = {
-    "p7_found": """
-        WITH h AS (
-            SELECT hit_id, max(word_count) AS wc, min(coalesce(
-                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(domain, '\\s+', '', 'g')),
-                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\\.+$', ''), '^www\\.', ''), ''),
-                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '\\s+', '', 'g')),
-                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\\.+$', ''), '^www\\.', ''), ''))) AS host
-            FROM search_hits WHERE hit_id IS NOT NULL GROUP BY hit_id
-        ), r AS (
-            SELECT hit_id, row_number() OVER (PARTITION BY host ORDER BY wc DESC NULLS LAST, hit_id) AS rn, count(*) OVER () AS n FROM h
-        )
-        SELECT hit_id FROM r WHERE rn > greatest(1, n // 50)
-    """,
-}
+def entry(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship query."""
+    return QUERIES["url_normalize"](spark, sf)
