@@ -41,10 +41,14 @@ def _authority(url: Column) -> Column:
 
 def host(url: Column) -> Column:
     """Lower-cased host of an http(s) or ftp URL, '' for other valid schemes, null if the URL is invalid."""
-    s = scheme(url)
-    h = F.lower(F.regexp_extract(_authority(url), AUTHORITY, 1))
-    good = (h != "") & ~h.rlike(r"[\s<>^|%#?/\\\[\]@]") | h.rlike(r"^\[[0-9a-f:.]+\]$")
-    return F.when(s.isin("http", "https", "ftp"), F.when(good, h)).when(s.isNotNull(), F.lit(""))
+
+    def known(x: Column) -> Column:
+        s, h = x["s"], x["h"]
+        good = (h != "") & ~h.rlike(r"[\s<>^|%#?/\\\[\]@]") | h.rlike(r"^\[[0-9a-f:.]+\]$")
+        return F.when(s.isin("http", "https", "ftp"), F.when(good, h)).when(s.isNotNull(), F.lit(""))
+
+    parts = lambda u: F.struct(scheme(u).alias("s"), F.lower(F.regexp_extract(_authority(u), AUTHORITY, 1)).alias("h"))
+    return let(url, lambda u: let(parts(u), known))
 
 
 def is_valid(url: Column) -> Column:
@@ -66,13 +70,12 @@ def is_private_host(h: Column) -> Column:
 
 def is_safe(url: Column) -> Column:
     """Whether a URL may be fetched: http(s) and not a loopback, private or multicast address."""
-    return F.coalesce(_is_web(url) & ~is_private_host(host(url)), F.lit(False))
+    return let(url, lambda u: F.coalesce(_is_web(u) & let(host(u), lambda h: ~is_private_host(h)), F.lit(False)))
 
 
 def is_blocked_link(url: Column) -> Column:
     """Whether a link is dropped as tracking or redirect noise."""
-    low = F.lower(url)
-    return functools.reduce(Column.__or__, [low.contains(x) for x in BLOCKED_LINKS])
+    return let(F.lower(url), lambda u: functools.reduce(Column.__or__, [u.contains(x) for x in BLOCKED_LINKS]))
 
 
 def _encode_form(s: Column) -> Column:
@@ -153,15 +156,13 @@ def _dots(path: Column) -> Column:
 
 def display(url: Column) -> Column:
     """Host and path without trailing slash, as shown beside a result; the URL itself if it has no host."""
-    path = F.regexp_replace(F.regexp_extract(_clean(url), HTTP, 3), "/$", "")
-    h = host(url)
-    return F.when(h.isNotNull() & (h != ""), F.concat(h, path)).otherwise(url)
+    shown = lambda u: let(host(u), lambda h: F.when(h != "", F.concat(h, F.regexp_replace(F.regexp_extract(_clean(u), HTTP, 3), "/$", ""))).otherwise(u))
+    return let(url, shown)
 
 
 def path_of(url: Column) -> Column:
     """Lower-cased path, '/' if empty."""
-    p = F.lower(F.regexp_extract(_clean(url), HTTP, 3))
-    return F.when(p == "", F.lit("/")).otherwise(p)
+    return F.regexp_replace(F.lower(F.regexp_extract(_clean(url), HTTP, 3)), "^$", "/")
 
 
 def cache_key(parts: dict[str, Column]) -> Column:

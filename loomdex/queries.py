@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import contributors, urls
+from .catalog import content, contributors, crawl, urls
 
-_PARTS = [urls, contributors]
+_PARTS = [urls, content, crawl, contributors]
 
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
