@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import content, contributors, crawl, urls
+from .catalog import content, contributors, crawl, search, urls
 
-_PARTS = [urls, content, crawl, contributors]
+_PARTS = [urls, content, crawl, search, contributors]
 
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
@@ -14,4 +14,4 @@ SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship query."""
-    return QUERIES["url_normalize"](spark, sf)
+    return QUERIES["bm25_best_fields"](spark, sf)
