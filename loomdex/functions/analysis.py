@@ -164,7 +164,8 @@ def term_of_word(words: DataFrame) -> DataFrame:
     def terms(w: pa.Array) -> pa.Array:
         return pa.array([[] if (s := porter(x)) in STOP_WORDS else word_parts(s) for x in w.to_pylist()], pa.list_(pa.string()))
 
-    return words.withColumn("terms", terms("word"))
+    # kept above the distinct: a filter on its result must not be pushed below, to every occurrence of a word
+    return words.withColumn("terms", terms.asNondeterministic()("word"))
 
 
 def synonym_rules() -> list[list[tuple[str, ...]]]:

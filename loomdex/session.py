@@ -5,12 +5,35 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOT = os.path.dirname(os.path.abspath(__file__))
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: where no path that they inherit holds it, it is sent along."""
+    home = os.path.dirname(_ROOT)
+    known = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    app = spark.sparkContext.applicationId
+    if app in _shipped or home in known or "site-packages" in home:
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="loomdex-code-"), "loomdex.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(_ROOT):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, home))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the test tables."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
