@@ -16,6 +16,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page_id", F.explode("furniture").alias("para_no")).select("page_id", F.col("para_no").cast("long"))
 
 
+def p1_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Each sound page with only its article's own paragraphs, in order."""
+    src = table(spark, sf, "pages_index")
+    found = pages.assess(src).where("sound").select(F.col("page_id").alias("_p"), "furniture")
+    lines = src.select("page_id", "content.paragraphs").dropDuplicates(["page_id"]).join(found, F.col("page_id") == F.col("_p"))
+    own = F.filter("paragraphs", lambda x, i: ~F.array_contains("furniture", i))
+    return lines.select("page_id", own.alias("paragraphs"), F.array_join(own, " ").alias("full_text"))
+
+
 def _with_languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     src, codes = table(spark, sf, "pages_index"), table(spark, sf, "language_codes")
     labels = src.select("page_id", langid.normalized_label(F.col("language"), codes).alias("lang"))
@@ -39,6 +48,20 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return repeated.repeated_lines(table(spark, sf, "pages_index"))
 
 
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page without the lines repeated in its domain."""
+    src = table(spark, sf, "pages_index").select("page_id", "domain", "content").dropDuplicates(["page_id"])
+    return repeated.without_lines(src, repeated.repeated_lines(src)).select("page_id", "content.paragraphs")
+
+
+def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of each page's full text, its stored word count, and whether its own content is natural prose."""
+    src = table(spark, sf, "pages_index")
+    kinds = pages.assess(src).select(F.col("page_id").alias("_p"), "kind", "kind_p")
+    measured = pages.full_text_stats(src.select("page_id", "word_count", "content.full_text").dropDuplicates(["page_id"]))
+    return measured.join(kinds, F.col("page_id") == F.col("_p")).drop("_p").withColumn("is_prose", F.col("kind") == "prose")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return pages.assess(table(spark, sf, "pages_index")).where("low_quality").select("page_id")
 
@@ -78,7 +101,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p2_found, p2_segments, p3_found, p4_found, p5_found, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
+    p1_found, p1_articles, p2_found, p2_segments, p3_found, p3_clean, p4_found, p4_statistics, p5_found, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
 )}
 
 SQL: dict[str, str] = {
@@ -92,4 +115,12 @@ SQL: dict[str, str] = {
         )
         SELECT page_id, CAST(para_no AS BIGINT) AS para_no FROM l JOIN k USING (domain, w)
     """,
+    "p3_clean": """
+        WITH p AS (SELECT DISTINCT ON (page_id) * FROM pages_index), l AS (
+            SELECT page_id, domain, i, content.paragraphs[i] AS x, lower(regexp_replace(content.paragraphs[i], '[^\\p{L}]+', '', 'g')) AS w
+            FROM p, unnest(range(1, len(content.paragraphs) + 1)) AS u(i)
+        ), k AS (SELECT domain, w FROM l WHERE w <> '' GROUP BY domain, w HAVING count(DISTINCT page_id) >= 6),
+        c AS (SELECT page_id, list(x ORDER BY i) AS paragraphs FROM l LEFT JOIN k USING (domain, w) WHERE k.w IS NULL GROUP BY page_id)
+        SELECT page_id, coalesce(c.paragraphs, []) AS paragraphs FROM p LEFT JOIN c USING (page_id)
+    """,
 }
