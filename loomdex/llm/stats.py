@@ -84,11 +84,14 @@ def redundancy(text: str) -> float:
 
 
 def keyword_share(text: str) -> float:
-    """Share of the three most frequent words of three or more letters among all such words."""
-    words = _WORD.findall(text.lower())
+    """Repeats of the three most frequent content words (three letters or more, no common words) among all of them.
+
+    A word's first occurrence is no repeat, so short natural texts stay near 0.
+    """
+    words = [w for w in _WORD.findall(text.lower()) if w not in COMMON]
     if not words:
         return 0.0
-    return sum(n for _, n in Counter(words).most_common(3)) / len(words)
+    return sum(n - 1 for _, n in Counter(words).most_common(3)) / len(words)
 
 
 def main_language(low_words: list[str]) -> str | None:
