@@ -47,7 +47,7 @@ from .urls import _NORMAL, _parts  # noqa: E402
 
 SQL = {
     "stream_dedup": f"WITH {_parts('crawl_jobs', 'job_id')} SELECT DISTINCT {_NORMAL} AS normalized FROM c WHERE {_NORMAL} IS NOT NULL",
-    "stream_domain_gap": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS at, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000) AS i FROM events)
-        SELECT key, at, i * 60000 + max(at - i * 60000) OVER (PARTITION BY key ORDER BY i) AS start FROM r""",
+    "stream_domain_gap": """WITH r AS (SELECT CAST(user_id AS VARCHAR) AS key, epoch_us(ts) // 1000 AS "at", row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000) AS i FROM events)
+        SELECT key, "at", i * 60000 + max("at" - i * 60000) OVER (PARTITION BY key ORDER BY i) AS start FROM r""",
     "stream_retry_timers": """WITH w AS (SELECT max(enqueued_at) - 3600000 AS t FROM retry_jobs), d AS (SELECT url, max(due_at) AS due_at FROM retry_jobs GROUP BY url) SELECT url, due_at FROM d, w WHERE due_at <= t""",
 }
