@@ -7,7 +7,7 @@ as the remaining counts allow. The documents then look up their container by (si
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -52,21 +52,24 @@ def fill_window(left: int, sizes: list[int], counts: dict[int, int]) -> dict[int
     return out
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
-    """(repetitions, {size: count}) of containers that hold each item of the histogram exactly once.
+def fill_largest(left: int, sizes: list[int], counts: dict[int, int]) -> dict[int, int]:
+    """Counts of sizes that first fit decreasing puts into a window: always the largest that still fits."""
+    out = {}
+    for s in sizes:
+        if k := min(counts[s], left // s):
+            out[s] = k
+            left -= s * k
+    return out
 
-    The largest remaining size opens a window and minimum slack fills it. Every pattern is repeated until
-    one of its sizes runs out, so there are no more patterns than twice the number of sizes.
-    """
+
+def _packed(counts: dict[int, int], capacity: int, fill: Callable) -> list[tuple[int, dict[int, int]]]:
     left = {s: n for s, n in counts.items() if n > 0}
-    if any(not 0 < s <= capacity for s in left):
-        raise ValueError("sizes must lie between 1 and the capacity")
     sizes = sorted(left, reverse=True)
     out = []
     while sizes:
         first = sizes[0]
         left[first] -= 1
-        pattern = fill_window(capacity - first, sizes, left)
+        pattern = fill(capacity - first, sizes, left)
         left[first] += 1
         pattern[first] = pattern.get(first, 0) + 1
         times = min(left[s] // k for s, k in pattern.items())
@@ -77,6 +80,21 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dic
     return out
 
 
+def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
+    """(repetitions, {size: count}) of containers that hold each item of the histogram exactly once.
+
+    The largest remaining size opens a window and minimum slack fills it. Every pattern is repeated until
+    one of its sizes runs out, so there are no more patterns than twice the number of sizes. Where small sizes are so
+    few that spending them early costs containers, first fit decreasing needs fewer, and is taken.
+    """
+    if any(n > 0 and not 0 < s <= capacity for s, n in counts.items()):
+        raise ValueError("sizes must lie between 1 and the capacity")
+    best = _packed(counts, capacity, fill_window)
+    plain = _packed(counts, capacity, fill_largest)
+    used = lambda x: sum(n for n, _ in x)
+    return plain if used(plain) < used(best) else best
+
+
 def items(counts: DataFrame, targets: DataFrame, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
     """(target_id, capacity, key, piece, size): documents per target, cut only if they exceed the capacity.
 
