@@ -25,30 +25,33 @@ def _clean(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
 
 
+def _scheme(clean: Column) -> Column:
+    return F.nullif(F.lower(F.regexp_extract(clean, SCHEME, 1)), F.lit(""))
+
+
 def scheme(url: Column) -> Column:
     """Lower-cased scheme; null if there is none."""
-    s = F.lower(F.regexp_extract(_clean(url), SCHEME, 1))
-    return F.when(s != "", s)
+    return _scheme(_clean(url))
 
 
-def _is_web(url: Column) -> Column:
-    return scheme(url).isin("http", "https")
+def _with_slashes(clean: Column) -> Column:
+    return F.regexp_replace(clean, r"^([a-zA-Z]+):[/\\]*", "$1://")
 
 
-def _authority(url: Column) -> Column:
-    return F.regexp_extract(F.regexp_replace(_clean(url), r"^([a-zA-Z]+):[/\\]*", "$1://"), HTTP, 2)
+def _authority(clean: Column) -> Column:
+    return F.regexp_extract(_with_slashes(clean), HTTP, 2)
 
 
-def host(url: Column) -> Column:
-    """Lower-cased host of an http(s) or ftp URL, '' for other valid schemes, null if the URL is invalid."""
+def _host(s: Column, h: Column) -> Column:
+    """Host from scheme and lower-cased host text."""
+    good = (h != "") & ~h.rlike(r"[\s<>^|%#?/\\\[\]@]") | h.rlike(r"^\[[0-9a-f:.]+\]$")
+    return F.when(s.isin("http", "https", "ftp"), F.when(good, h)).when(s.isNotNull(), F.lit(""))
 
-    def known(x: Column) -> Column:
-        s, h = x["s"], x["h"]
-        good = (h != "") & ~h.rlike(r"[\s<>^|%#?/\\\[\]@]") | h.rlike(r"^\[[0-9a-f:.]+\]$")
-        return F.when(s.isin("http", "https", "ftp"), F.when(good, h)).when(s.isNotNull(), F.lit(""))
 
-    parts = lambda u: F.struct(scheme(u).alias("s"), F.lower(F.regexp_extract(_authority(u), AUTHORITY, 1)).alias("h"))
-    return let(url, lambda u: let(parts(u), known))
+def host(url: Column) -> Column:
+    """Lower-cased host of an http(s) or ftp URL, '' for other valid schemes, null if the URL is invalid."""
+    parts = lambda u: F.struct(_scheme(u).alias("s"), F.lower(F.regexp_extract(_authority(u), AUTHORITY, 1)).alias("h"))
+    return let(_clean(url), lambda u: let(parts(u), lambda x: _host(x["s"], x["h"])))
 
 
 def is_valid(url: Column) -> Column:
@@ -62,15 +65,18 @@ def domain_of(url: Column) -> Column:
 
 
 def is_private_host(h: Column) -> Column:
-    part = lambda i: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", i)
-    a, b = part(1).try_cast("int"), part(2).try_cast("int")
-    ip = (a.isin(0, 10, 127)) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
-    return h.isin("localhost", "::1") | F.coalesce(ip, F.lit(False))
+    """Whether a host is this machine or a private, loopback, null or multicast IPv4 address."""
+    ip = h.rlike(
+        r"^(?:0*(?:0|10|127)\.\d{1,3}|0*(?:22[4-9]|2[3-9]\d|[3-9]\d\d)\.\d{1,3}|0*172\.0*(?:1[6-9]|2\d|3[01])|0*192\.0*168)\.\d{1,3}\.\d{1,3}$"
+    )
+    return h.isin("localhost", "::1") | ip
 
 
 def is_safe(url: Column) -> Column:
     """Whether a URL may be fetched: http(s) and not a loopback, private or multicast address."""
-    return let(url, lambda u: F.coalesce(_is_web(u) & let(host(u), lambda h: ~is_private_host(h)), F.lit(False)))
+    parts = lambda u: F.struct(_scheme(u).alias("s"), F.lower(F.regexp_extract(_authority(u), AUTHORITY, 1)).alias("h"))
+    safe = lambda x: F.coalesce(x["s"].isin("http", "https") & ~let(_host(x["s"], x["h"]), is_private_host), F.lit(False))
+    return let(_clean(url), lambda u: let(parts(u), safe))
 
 
 def is_blocked_link(url: Column) -> Column:
@@ -95,7 +101,7 @@ def sorted_query(query: Column) -> Column:
         ),
     )
     joined = F.array_join(F.transform(F.array_sort(keyed), lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
-    return F.when(F.coalesce(query, F.lit("")).isin("", "?"), F.lit("")).otherwise(F.concat(F.lit("?"), joined))
+    return F.when(F.coalesce(F.length(query), F.lit(0)) < 2, F.lit("")).otherwise(F.concat(F.lit("?"), joined))
 
 
 def normalize(url: Column) -> Column:
@@ -108,15 +114,24 @@ def normalize(url: Column) -> Column:
 
 
 def _normalize_clean(u: Column) -> Column:
-    u = F.when(_is_web(u), F.regexp_replace(u, r"^([a-zA-Z]+):[/\\]*", "$1://")).otherwise(u)
-    s, auth = scheme(u), F.regexp_extract(u, HTTP, 2)
-    port = F.regexp_extract(auth, AUTHORITY, 2)
-    path = F.regexp_replace(F.replace(F.regexp_extract(u, HTTP, 3), F.lit("\\"), F.lit("/")), " ", "%20")
-    path = F.regexp_replace(F.regexp_replace(path, "^$", "/"), "^(.+)/$", "$1")
-    kept = F.when(port.isin("", "80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    web = F.concat(s, F.lit("://"), host(u), kept, path, sorted_query(F.regexp_extract(u, HTTP, 4)))
-    other = F.concat(s, F.lit(":"), F.regexp_replace(F.regexp_replace(u, SCHEME, ""), r"#.*$", ""))
-    return F.when(_is_web(u), web).when(s.isNotNull() & host(u).isNotNull(), other)
+    w = _with_slashes(u)
+    web = F.struct(
+        F.regexp_extract(w, HTTP, 2).alias("a"), F.regexp_extract(w, HTTP, 3).alias("p"), F.regexp_extract(w, HTTP, 4).alias("q"),
+    )
+
+    def build(s: Column, x: Column) -> Column:
+        port = F.regexp_extract(x["a"], AUTHORITY, 2)
+        kept = F.when(port.isin("", "80", "443"), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+        path = F.replace(F.replace(x["p"], F.lit("\\"), F.lit("/")), F.lit(" "), F.lit("%20"))
+        path = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "^(.+)/$", "$1"))
+        return F.concat(s, F.lit("://"), _host(s, F.lower(F.regexp_extract(x["a"], AUTHORITY, 1))), kept, path, sorted_query(x["q"]))
+
+    def of(s: Column) -> Column:
+        other = F.concat(s, F.lit(":"), F.regexp_replace(F.regexp_replace(u, SCHEME, ""), r"#.*$", ""))
+        valid = (s != "ftp") | _host(s, F.lower(F.regexp_extract(_authority(u), AUTHORITY, 1))).isNotNull()
+        return F.when(s.isin("http", "https"), let(web, lambda x: build(s, x))).when(s.isNotNull() & valid, other)
+
+    return let(_scheme(u), of)
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -129,13 +144,13 @@ def resolve(base: Column, href: Column) -> Column:
 
 
 def _resolved(base: Column, h: Column) -> Column:
-    root = F.concat(scheme(base), F.lit("://"), F.lower(_authority(base)))
+    root = F.concat(_scheme(base), F.lit("://"), F.lower(_authority(base)))
     base_path = F.regexp_replace(F.regexp_extract(base, HTTP, 3), "^$", "/")
     folder = F.regexp_replace(base_path, r"[^/]*$", "")
     query = F.regexp_extract(base, HTTP, 4)
     return (
         F.when(h.rlike(SCHEME), h)
-        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+        .when(h.startswith("//"), F.concat(_scheme(base), F.lit(":"), h))
         .when(h.startswith("/"), F.concat(root, _dots(h)))
         .when(h == "", F.concat(root, base_path, query))
         .when(h.startswith("?"), F.concat(root, base_path, h))

@@ -74,9 +74,14 @@ def page_links(hrefs: Column, base: Column, most: int | None = None) -> Column:
     resolved = F.transform(hrefs, lambda h: url.resolve(base, h))
     good = F.filter(resolved, lambda u: u.isNotNull() & ~url.is_blocked_link(u))
     normal = F.array_distinct(F.filter(F.transform(good, url.normalize), lambda u: u.isNotNull() & ~url.is_blocked_link(u)))
-    own = F.reverse(F.filter(normal, lambda u: url.domain_of(u) == url.domain_of(base)))
-    rest = F.filter(normal, lambda u: url.domain_of(u) != url.domain_of(base))
-    return F.slice(F.concat(own, rest), 1, most)
+    sited = F.transform(normal, lambda u: F.struct(u.alias("u"), url.domain_of(u).alias("d")))
+
+    def ordered(x: Column) -> Column:
+        links, home = x["links"], x["home"]
+        own = F.reverse(F.filter(links, lambda y: y["d"] == home))
+        return F.slice(F.transform(F.concat(own, F.filter(links, lambda y: y["d"] != home)), lambda y: y["u"]), 1, most)
+
+    return url.let(F.struct(sited.alias("links"), url.domain_of(base).alias("home")), ordered)
 
 
 def due_retries(retries: DataFrame, now_ms: Column) -> DataFrame:
