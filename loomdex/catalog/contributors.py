@@ -26,18 +26,25 @@ def p7_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {"p7_found": p7_found, "p7_levels": p7_levels}
 
-SQL = {
-    "p7_found": """
-        WITH h AS (
+_RECORDS = r"""WITH h AS (
             SELECT hit_id, max(word_count) AS wc, min(coalesce(
-                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(domain, '\\s+', '', 'g')),
-                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\\.+$', ''), '^www\\.', ''), ''),
-                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '\\s+', '', 'g')),
-                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\\.+$', ''), '^www\\.', ''), ''))) AS host
+                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(domain, '\s+', '', 'g')),
+                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\.+$', ''), '^www\.', ''), ''),
+                nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(url, '\s+', '', 'g')),
+                    '^[a-z][a-z0-9+.-]*://|^//', ''), '[/?#].*$', ''), ':[0-9]*$', ''), '\.+$', ''), '^www\.', ''), ''))) AS host
             FROM search_hits WHERE hit_id IS NOT NULL GROUP BY hit_id
-        ), r AS (
+        )"""
+
+SQL = {
+    "p7_found": f"""
+        {_RECORDS}, r AS (
             SELECT hit_id, row_number() OVER (PARTITION BY host ORDER BY wc DESC NULLS LAST, hit_id) AS rn, count(*) OVER () AS n FROM h
         )
         SELECT hit_id FROM r WHERE rn > greatest(1, n // 50)
     """,
+    "p7_levels": f"""
+        {_RECORDS}, c AS (SELECT host, count(*) AS n FROM h GROUP BY host), t AS (SELECT l, sum(least(n, l)) AS kept FROM c, range(1, (SELECT max(n) + 1 FROM c)) AS r(l) GROUP BY l),
+        best AS (SELECT coalesce(max(l), 1) AS l FROM t WHERE l <= kept / 50.0)
+        SELECT host AS contributor, n AS records, least(n, l) AS kept FROM c, best
+    """,
 }

@@ -14,4 +14,4 @@ SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship query."""
-    return QUERIES["bm25_best_fields"](spark, sf)
+    return QUERIES["bm25_single_field"](spark, sf)
