@@ -58,7 +58,7 @@ def p4_statistics(spark: SparkSession, sf: str) -> DataFrame:
     """Statistics of each page's full text, its stored word count, and whether its own content is natural prose."""
     src = table(spark, sf, "pages_index")
     kinds = pages.assess(src).select(F.col("page_id").alias("_p"), "kind", "kind_p")
-    measured = pages.full_text_stats(src.select("page_id", "word_count", "content.full_text").dropDuplicates(["page_id"]))
+    measured = pages.full_text_stats(src.select("page_id", "word_count", "content.full_text")).dropDuplicates(["page_id"])
     return measured.join(kinds, F.col("page_id") == F.col("_p")).drop("_p").withColumn("is_prose", F.col("kind") == "prose")
 
 
