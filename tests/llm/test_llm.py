@@ -178,6 +178,16 @@ def test_wrappers(spark):
     assert wrappers.infer(nulls).bits.sum() == 0
 
 
+def test_wrappers_no_site_outvotes_the_others(spark):
+    own = lambda d, i: [f"Page {d} {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyzabcd'[i // 100]} tells of its own things."]
+    small = [f"{x}.example" for x in ("alba", "birk", "cove", "dune", "elms", "ford", "glen", "holm")]
+    rows = [(1000 * k + i, d, "T", own(d[:4], i) + (["Read also about rivers"] if i < 5 else [])) for k, d in enumerate(small) for i in range(200)]
+    # a third of the pages is of one site, which has the line once
+    rows += [(9000 + i, "mega.example", "T", own("mega", i) + (["Read also about rivers"] if i == 0 else []) + (["Our own menu here"] if i % 2 else [])) for i in range(800)]
+    found = {tuple(x) for x in wrappers.constants(page_table(spark, rows)).collect()}
+    assert {("line", "read also about rivers"), ("line", "our own menu here")} <= found
+
+
 def test_assess(spark):
     r = random.Random(6)
     rows = site(40, 0, "lorena", r)
