@@ -188,6 +188,19 @@ def test_wrappers_no_site_outvotes_the_others(spark):
     assert {("line", "read also about rivers"), ("line", "our own menu here")} <= found
 
 
+def test_wrappers_of_any_length(spark):
+    r = random.Random(8)
+    legal = "This notice, number 7, is a legal text. " * 6 + "All rights stay with the owner of the site."
+    huge = "Terms of use: " + "nothing here may be copied without leave, " * 40
+    copied = "The mill by the river was painted again this spring, " * 6
+    rows = site(30, 0, "lorena", r)
+    rows = [(i, d, t, [*p, legal, huge, "Home", "My account", *([copied] if i < 3 else []), *(["Tea"] if i < 2 else [])]) for i, d, t, p in rows]
+    w = wrappers.infer(page_table(spark, rows))
+    host = "www.lorena.example"
+    assert all(w.furniture(x, host) for x in (legal, legal.replace("7", "12").upper(), huge, "Home", "» My account"))
+    assert not any(w.furniture(x, host) for x in (copied, "Tea", "Home made", legal + "And more.", huge[:-9], " ".join(PROSE * 9)))
+
+
 def test_assess(spark):
     r = random.Random(6)
     rows = site(40, 0, "lorena", r)
