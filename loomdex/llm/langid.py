@@ -1,8 +1,8 @@
 """Language of documents and of mixed-language segments: a bidirectional gated recurrent network over bytes.
 
-A position is a chunk of four bytes of a sentence (sentences start on a new chunk). Each of the four byte
-places has its own input table; the sum of the four rows feeds two gated recurrent units, one from each
-side. Every position is labelled; sentences and documents pool the positions' log-probabilities.
+The recurrence goes in steps of four bytes (sentences start on a new step): each of the four byte places has its own
+input table, and the sum of the four rows feeds two gated recurrent units, one from each side. Every byte gets its own
+label distribution, from an output layer of its place; sentences and documents pool the bytes' log-probabilities.
 Trained in numpy by backpropagation through time.
 """
 
@@ -20,7 +20,7 @@ CHUNK = 4
 HIDDEN = 16
 #: positions of a window: texts are cut into windows, all of which are labelled
 WINDOW = 256
-BATCH = 128
+BATCH = 512
 #: pages of one language that training may take (a bounded sample of labelled rows), steps and batch
 TRAIN_PAGES = 240
 STEPS = 260
@@ -42,8 +42,8 @@ class Network:
             "w": (rng.standard_normal((CHUNK, 256, 2, 3 * h)) * 0.15).astype(np.float32),
             "u": (rng.standard_normal((2, h, 3 * h)) / np.sqrt(h)).astype(np.float32),
             "b": np.zeros((2, 1, 3 * h), np.float32),
-            "v": (rng.standard_normal((2 * h, n)) / np.sqrt(2 * h)).astype(np.float32),
-            "c": np.zeros(n, np.float32),
+            "v": (rng.standard_normal((2 * h, CHUNK * n)) / np.sqrt(2 * h)).astype(np.float32),
+            "c": np.zeros(CHUNK * n, np.float32),
         }
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
@@ -77,26 +77,78 @@ class Network:
             out[i, :, :h], out[j, :, h:] = s[0], s[1]
         return out
 
-    def log_probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        logits = self.states(x, mask) @ self.p["v"] + self.p["c"]
+    def _logits(self, states: np.ndarray) -> np.ndarray:
+        """(positions, batch, CHUNK, languages), the greatest of each byte at 0."""
+        logits = states @ self.p["v"] + self.p["c"]
+        logits = logits.reshape(*states.shape[:2], CHUNK, len(self.languages))
         logits -= logits.max(-1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(-1, keepdims=True))
+        return logits
+
+    def _ready(self) -> tuple:
+        """Weights for :meth:`log_probabilities`: both directions' input tables with the bias in them, halved where a
+        gate's logistic function is taken as a hyperbolic tangent, and the output layers."""
+        h, n = HIDDEN, len(self.languages)
+        half = np.ones(3 * h, np.float32)
+        half[: 2 * h] = 0.5
+        w = self.p["w"].transpose(2, 0, 1, 3) * half
+        w[:, 0] += (self.p["b"] * half)
+        v, c = self.p["v"], self.p["c"]
+        ones = np.kron(np.eye(CHUNK, dtype=np.float32), np.ones((n, 1), np.float32))
+        return w, self.p["u"] * half, v, c, v.reshape(2 * h, CHUNK, n).mean(1), c.reshape(CHUNK, n).mean(0), ones
+
+    def log_probabilities(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Mean log-probability of each language over the bytes of each position. The same states as
+        :meth:`states`, without what training keeps."""
+        w, u, v, c, v_mean, c_mean, ones = self._ready()
+        t, b = x.shape[:2]
+        h = HIDDEN
+        inputs = np.empty((t, 2, b, 3 * h), np.float32)
+        for side, order in ((0, slice(None)), (1, slice(None, None, -1))):
+            y = x[order]
+            total = w[side, 0][y[..., 0]]
+            for k in range(1, CHUNK):
+                total += w[side, k][y[..., k]]
+            inputs[:, side] = total
+        out = np.empty((t, b, 2 * h), np.float32)
+        s = np.zeros((2, b, h), np.float32)
+        hu = np.empty((2, b, 3 * h), np.float32)
+        keep = mask[::-1, :, None]
+        for i in range(t):
+            xs = inputs[i]
+            np.matmul(s, u, out=hu)
+            zr = xs[..., : 2 * h] + hu[..., : 2 * h]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            new = zr[..., h:] * hu[..., 2 * h :]
+            new += xs[..., 2 * h :]
+            np.tanh(new, out=new)
+            s -= new
+            s *= zr[..., :h]
+            s += new
+            s[1] *= keep[i]
+            out[i, :, :h], out[t - 1 - i, :, h:] = s[0], s[1]
+        flat = out.reshape(t * b, 2 * h)
+        each = flat @ v
+        each += c
+        np.exp(np.minimum(each, 80, out=each), out=each)
+        norm = np.log(each @ ones).sum(1, keepdims=True) / CHUNK
+        return (flat @ v_mean + c_mean - norm).reshape(t, b, -1)
 
     def gradients(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross entropy over unpadded positions and its gradients, through time."""
         h = HIDDEN
         keep: list = []
         states = self.states(x, mask, keep)
-        logits = states @ self.p["v"] + self.p["c"]
-        logits -= logits.max(-1, keepdims=True)
-        q = np.exp(logits)
+        q = np.exp(self._logits(states))
         q /= q.sum(-1, keepdims=True)
         t, b = y.shape
-        total = mask.sum()
-        picked = np.take_along_axis(q, y[..., None], -1)[..., 0]
-        loss = float(-(np.log(picked + 1e-9) * mask).sum() / total)
-        np.put_along_axis(q, y[..., None], picked[..., None] - 1, -1)
-        d_logits = q * (mask / total)[..., None]
+        total = mask.sum() * CHUNK
+        at = np.broadcast_to(y[..., None, None], (t, b, CHUNK, 1))
+        picked = np.take_along_axis(q, at, -1)[..., 0]
+        loss = float(-(np.log(picked + 1e-9) * mask[..., None]).sum() / total)
+        np.put_along_axis(q, at, picked[..., None] - 1, -1)
+        d_logits = (q * (mask / total)[..., None, None]).reshape(t, b, -1)
         g = {"v": np.einsum("tbh,tbl->hl", states, d_logits, optimize=True), "c": d_logits.sum((0, 1))}
         d_out = d_logits @ self.p["v"].T
         u = self.p["u"]
@@ -227,34 +279,42 @@ MIN_RUN = 2
 MIN_CONFIDENCE = 0.5
 
 
-def closed_sentences(lines: list[str]) -> list[str]:
-    """Sentences of lines that end in a sentence mark; list items, headings and loose phrases are left out."""
-    return [s for x in lines for s in sentences(x) if _CLOSED.search(s)]
-
+def segments_of(net: Network, texts: list[list[str]]) -> list[tuple[list[tuple[int, int, str, float]], str | None, float, list[str]]]:
+    """Runs of sentences of one language of each text (a list of lines), the language of the whole with its
+    probability, and the languages in which ``MIN_RUN`` consecutive closed sentences are written.
 
-def segments_of(net: Network, texts: list[list[str]]) -> list[tuple[list[tuple[int, int, str, float]], str | None, float]]:
-    """Runs of sentences of one language of each text, and the language of the whole with its probability.
-
-    A sentence takes the language of its pooled positions. The confidence of a run or a text is the pooled
-    probability of its language. A text without sentences has no run and no language.
+    A sentence takes the language of its pooled bytes; a line without an end mark is a sentence too, but not a
+    closed one. The confidence of a run or a text is the pooled probability of its language. A text without
+    sentences has no run and no language.
     """
+    parts = [[s for x in t for s in sentences(x)] for t in texts]
     out = []
-    for scores in label(net, texts):
+    for part, scores in zip(parts, label(net, parts), strict=True):
         if not len(scores):
-            out.append(([], None, 0.0))
+            out.append(([], None, 0.0, []))
             continue
-        best = scores.argmax(1)
-        cuts = [0, *(np.flatnonzero(np.diff(best)) + 1), len(best)]
-        runs = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            p = np.exp(scores[a:b].mean(0))
-            runs.append((int(a), int(b - 1), net.languages[best[a]], float(p[best[a]] / p.sum())))
+        runs = _runs(net, scores)
+        closed = [i for i, s in enumerate(part) if _CLOSED.search(s)]
+        among = _runs(net, scores[closed]) if len(closed) < len(part) else runs
+        written = {k for a, b, k, p in among if b - a + 1 >= MIN_RUN and p >= MIN_CONFIDENCE}
         p = np.exp(scores.mean(0))
         k = int(p.argmax())
-        out.append((runs, net.languages[k], float(p[k] / p.sum())))
+        out.append((runs, net.languages[k], float(p[k] / p.sum()), sorted(written)))
     return out
 
 
+def _runs(net: Network, scores: np.ndarray) -> list[tuple[int, int, str, float]]:
+    if not len(scores):
+        return []
+    best = scores.argmax(1)
+    cuts = [0, *(np.flatnonzero(np.diff(best)) + 1), len(best)]
+    runs = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        p = np.exp(scores[a:b].mean(0))
+        runs.append((int(a), int(b - 1), net.languages[best[a]], float(p[best[a]] / p.sum())))
+    return runs
+
+
 def train_on_labels(pages: DataFrame, codes: DataFrame, per_language: int = TRAIN_PAGES) -> Network:
     """A network trained on a bounded sample of labelled pages (page_id, language, content.paragraphs).
 
@@ -273,20 +333,18 @@ def train_on_labels(pages: DataFrame, codes: DataFrame, per_language: int = TRAI
     taken: dict[str, int] = {}
     for r in rows:
         text = "\n".join(x for x in r["lines"] if x)
-        if taken.get(r["lang"], 0) < per_language and r["page_id"] not in used and main_language(text.lower().split()) == r["lang"]:
+        if taken.get(r["lang"], 0) < per_language and r["page_id"] not in used and main_language(text) == r["lang"]:
             used[r["page_id"]] = (r["lang"], text)
             taken[r["lang"]] = taken.get(r["lang"], 0) + 1
     return train(list(used.values()))
 
 
 def misnamed_languages(scanned: DataFrame, labels: DataFrame) -> DataFrame:
-    """(page_id, lang): languages of at least ``MIN_RUN`` consecutive sentences that the page's label does not name.
+    """(page_id, lang): languages written on a page that the page's label does not name.
 
-    ``scanned`` has page_id and segments, ``labels`` page_id and lang (null if the label names none).
+    ``scanned`` has page_id and ``written`` (languages of at least ``MIN_RUN`` consecutive closed sentences),
+    ``labels`` page_id and lang (null if the label names none).
     """
-    runs = scanned.select("page_id", F.explode("segments").alias("s")).where(
-        (F.col("s.last_sentence") - F.col("s.first_sentence") + 1 >= MIN_RUN) & (F.col("s.confidence") >= MIN_CONFIDENCE)
-    )
-    found = runs.select("page_id", F.col("s.lang").alias("lang")).distinct()
+    found = scanned.select("page_id", F.explode("written").alias("lang")).distinct()
     named = labels.where("lang IS NOT NULL").select("page_id", "lang").distinct()
     return found.join(named, ["page_id", "lang"], "left_anti")

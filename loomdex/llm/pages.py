@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +15,13 @@ from ..session import materialize, spread
 from . import langid, mixture, stats
 from .examples import EXAMPLES
 from .residue import Residue
-from .wrappers import Wrappers, infer
+from .wrappers import Wrapper, host_sizes, wrappers
 
-#: components of the quality mixture and the rows it is fitted on (a bounded sample; statistics and means
-#: are of all pages)
+#: components of the quality mixture, and the rows its first guess is made on (EM itself runs over all pages)
 COMPONENTS = 14
-FIT_ROWS = 10_000
+START_ROWS = 10_000
+#: rounds of EM over all pages, fewer if it settles
+EM_ROUNDS = 6
 #: columns of ``stats.NAMES`` that the mixture uses, and how they are drawn nearer to a normal shape
 SHAPES = {
     "mean_word_length": "log", "symbol_ratio": "sqrt", "digit_ratio": "sqrt", "end_punctuation": "", "end_punctuation_words": "",
@@ -29,89 +31,98 @@ SHAPES = {
 #: languages with fewer pages than this are not normalized by their own median
 MIN_LANGUAGE_PAGES = 30
 
-#: compression relative to prose of the language below which a page is redundant, and the share of keyword repeats
-#: that confirms spam where sentence punctuation is sparse and where it is not
-MAX_REDUNDANCY = 0.92
-MIN_KEYWORDS = 0.18
-MIN_KEYWORDS_IN_SENTENCES = 0.27
+#: compression is extreme where it lies so many deviations (from the middle half of the language's pages) below
+#: the language's median: where sentence punctuation is sparse, and where it is not
+EXTREME = 4.0
+EXTREME_IN_SENTENCES = 5.0
+#: sentence ends a word below which sentence punctuation is sparse
+SPARSE = 0.03
+#: a host with more than this share of all pages is spread over several tasks
+HOST_SHARE = 0.001
 
 _SENTENCE_END = re.compile(r"[.!?…](?=\s|$)")
-_LINK = re.compile(r"https?://|\bwww\.|» ?[\w-]+(?:\.[\w-]+)+")
-_TAG = re.compile(r"#[^\W\d_][\w-]{3,}")
 
 SCHEMA = (
     "page_id long, lines int, furniture array<int>, residue boolean, stats array<double>, language string, "
-    "redundancy double, sentence_density double, keyword_share double, tag_share double, link_share double"
+    "redundancy double, sentence_density double"
 )
+SEGMENTS = (
+    "segments array<struct<first_sentence:int, last_sentence:int, lang:string, confidence:double>>, "
+    "page_lang string, page_confidence double, written array<string>"
+)
+_RUN = ("first_sentence", "last_sentence", "lang", "confidence")
+_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
+_TYPES = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.float64()), pa.string(), pa.float64(), pa.float64()]
+_SEGMENT_COLUMNS = ["segments", "page_lang", "page_confidence", "written"]
+_SEGMENT_TYPES = [pa.list_(pa.struct(list(zip(_RUN, (pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True)))), pa.string(), pa.float64(), pa.list_(pa.string())]
 
 
 def _own_evidence(own: list[str]) -> tuple:
     text = "\n".join(own)
-    st = stats.text_stats(text)
+    st, language = stats.measure(text)
     if st is None:
-        return None, None, None, None, None, None, None
-    words = st[0]
-    lines = [x for x in text.split("\n") if x.strip()]
-    return (
-        st,
-        stats.main_language(text.lower().split()),
-        stats.redundancy(text),
-        len(_SENTENCE_END.findall(text)) / words,
-        stats.keyword_share(text),
-        len(_TAG.findall(text)) / words,
-        sum(bool(_LINK.search(x)) for x in lines) / len(lines),
-    )
+        return None, None, None, None
+    return st, language, stats.redundancy(text), len(_SENTENCE_END.findall(text)) / st[0]
 
 
-SEGMENTS = "segments array<struct<first_sentence:int, last_sentence:int, lang:string, confidence:double>>, page_lang string, page_confidence double"
+def by_host(pages: DataFrame, entries: DataFrame) -> DataFrame:
+    """The pages of each host after a row with its wrapper, sorted within partitions by host, salt and page.
 
-
-def scan(pages: DataFrame, wrappers: Wrappers, network: langid.Network | None = None) -> DataFrame:
-    """One row per row of ``pages`` (page_id, domain, title, content.paragraphs), columns as in ``SCHEMA``.
-
-    ``furniture`` lists the positions of wrapper lines. Statistics and spam evidence are of the page's own
-    lines; null if it has none with words. Null paragraphs count as no lines, null lines as empty. With a
-    ``network`` the columns of ``SEGMENTS`` are added, of the own lines' sentences.
+    A host with more than ``HOST_SHARE`` of all pages is cut into salts; the wrapper stands before each of them. Such
+    hosts are at most 1 / ``HOST_SHARE``, so what is broadcast is bounded whatever the corpus.
     """
-    context = pages.sparkSession.sparkContext
-    shared = context.broadcast((wrappers, network))
+    sizes = host_sizes(pages.withColumn("domain", F.coalesce("domain", F.lit(""))))
+    total = sizes.agg(F.sum("pages")).first()[0] or 0
+    large = sizes.where(F.col("pages") > HOST_SHARE * total).select("domain", F.ceil(F.col("pages") / max(1.0, HOST_SHARE * total)).cast("int").alias("salts"))
+    # no more rows than 1 / HOST_SHARE
+    large = F.broadcast(large.limit(int(1 / HOST_SHARE)))
+    salts = F.coalesce("salts", F.lit(1))
+    rows = pages.select("page_id", F.coalesce("domain", F.lit("")).alias("domain"), "title", F.col("content.paragraphs").alias("paragraphs"))
+    rows = rows.join(large, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), salts).cast("int")).drop("salts")
+    heads = entries.join(large, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    placed = both.repartition("domain", "salt").sortWithinPartitions("domain", "salt", F.col("page_id").asc_nulls_first())
+    return placed.select("page_id", "domain", "title", "paragraphs", "entries")
+
+
+def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None = None) -> DataFrame:
+    """One row per page of ``pages`` (page_id, domain, title, content.paragraphs), columns as in ``SCHEMA``.
+
+    ``entries`` has each host's wrapper; ``furniture`` lists the positions of its lines. Statistics and spam
+    evidence are of the page's own lines; null if it has none with words. Null paragraphs count as no lines, null
+    lines as empty; rows without id are left out, rows of one host with the same id come out once. With a ``network``
+    the columns of ``SEGMENTS`` are added, of the own lines' sentences; pages with residue are not labelled.
+    """
+    shared = pages.sparkSession.sparkContext.broadcast(network)
     names, types = (_COLUMNS + _SEGMENT_COLUMNS, _TYPES + _SEGMENT_TYPES) if network else (_COLUMNS, _TYPES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, net), residue = shared.value, Residue()
-        for whole in batches:
-            for at in range(0, whole.num_rows, SCAN_ROWS):
-                batch = whole.slice(at, SCAN_ROWS)
-                out, owns = [], []
-                for page, domain, title, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    lines = lines or []
-                    furniture = [i for i, x in enumerate(lines) if w.furniture(x, domain or "")]
-                    gone = set(furniture)
-                    own = [x for i, x in enumerate(lines) if x and i not in gone]
-                    is_residue = residue.title(title) or any(residue.line(x) for x in lines)
-                    out.append((page, len(lines), furniture, is_residue, *_own_evidence(own)))
-                    owns.append(own)
-                columns = list(zip(*out, strict=True))
-                if net:
-                    found = langid.segments_of(net, [langid.closed_sentences(x) for x in owns])
-                    runs = [[dict(zip(_RUN, r, strict=True)) for r in x[0]] for x in found]
-                    columns += [runs, [x[1] for x in found], [x[2] for x in found]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    src = spread(pages.select("page_id", "domain", "title", F.col("content.paragraphs").alias("paragraphs")))
-    return src.mapInArrow(run, f"{SCHEMA}, {SEGMENTS}" if network else SCHEMA)
-
-
-#: pages scanned at once
-SCAN_ROWS = 1000
-_COLUMNS = [x.split()[0] for x in SCHEMA.split(", ")]
-_TYPES = [
-    pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.bool_(), pa.list_(pa.float64()), pa.string(),
-    pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(),
-]
-_RUN = ("first_sentence", "last_sentence", "lang", "confidence")
-_SEGMENT_COLUMNS = ["segments", "page_lang", "page_confidence"]
-_SEGMENT_TYPES = [pa.list_(pa.struct(list(zip(_RUN, (pa.int32(), pa.int32(), pa.string(), pa.float64()), strict=True)))), pa.string(), pa.float64()]
+        net, residue = shared.value, Residue()
+        wrapper, last = Wrapper(""), None
+        for batch in batches:
+            out, owns = [], []
+            for page, domain, title, lines, heads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if page is None:
+                    wrapper, last = Wrapper(domain, heads), None
+                    continue
+                if wrapper.domain != domain:
+                    wrapper = Wrapper(domain)
+                if (domain, page) == last:
+                    continue
+                last = (domain, page)
+                lines = lines or []
+                is_furniture = list(map(wrapper.furniture, lines))
+                own = [x for x, f in zip(lines, is_furniture, strict=True) if x and not f]
+                is_residue = residue.title(title) or any(map(residue.line, lines))
+                out.append((page, len(lines), [i for i, f in enumerate(is_furniture) if f], is_residue, *_own_evidence(own)))
+                owns.append([] if is_residue else own)
+            columns = list(zip(*out, strict=True)) or [()] * len(_COLUMNS)
+            if net:
+                found = langid.segments_of(net, owns)
+                columns += [[[dict(zip(_RUN, r, strict=True)) for r in x[0]] for x in found], *([x[i] for x in found] for i in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    return by_host(pages.where("page_id IS NOT NULL"), entries).mapInArrow(run, f"{SCHEMA}, {SEGMENTS}" if network else SCHEMA)
 
 
 def full_text_stats(pages: DataFrame) -> DataFrame:
@@ -147,19 +158,20 @@ def shaped_columns() -> list[Column]:
     return out
 
 
-def fit_quality(scanned: DataFrame, components: int = COMPONENTS, fit_rows: int = FIT_ROWS) -> tuple[mixture.Mixture, list[str]]:
+def fit_quality(scanned: DataFrame, components: int = COMPONENTS, start_rows: int = START_ROWS, rounds: int = EM_ROUNDS) -> tuple[mixture.Mixture, list[str]]:
     """The mixture and the class (prose, list, table, junk) of each component.
 
-    Means and deviations are of all pages that are neither residue nor spam; the mixture is fitted on at most
-    ``fit_rows`` of them, picked by a hash of the id, and the inspected examples. A component gets the class whose examples it explains
-    most; one without examples gets the class of the nearest component that has some.
+    Fitted by EM over all pages that are neither residue nor spam, and the inspected examples. The first guess comes
+    from at most ``start_rows`` pages picked by a hash of the id; from there each round is one pass over all pages
+    that sums what the next round needs. A component gets the class whose examples it explains most; one without
+    examples gets the class of the nearest component that has some.
     """
     known = scanned.where("stats IS NOT NULL AND NOT residue AND NOT spam")
     cols = shaped_columns()
     row = known.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
     examples = np.array([stats.text_stats(t) for _, t in EXAMPLES])
     kinds = np.array([k for k, _ in EXAMPLES])
-    sample = [r[0] for r in known.select("stats", F.xxhash64("page_id").alias("h")).orderBy("h").limit(fit_rows).select("stats").collect()]
+    sample = [r[0] for r in known.select("stats", F.xxhash64("page_id").alias("h")).orderBy("h").limit(start_rows).select("stats").collect()]
     z = shaped(np.array([*sample, *examples]))
     n = len(cols)
     if sample:
@@ -167,6 +179,13 @@ def fit_quality(scanned: DataFrame, components: int = COMPONENTS, fit_rows: int
     else:
         mean, scale = z.mean(0), z.std(0)
     m = mixture.fit(z, components, mean, scale)
+    last = None
+    for _ in range(rounds if sample else 0):
+        sums = _expected(known, m) + m.sums(shaped(examples))
+        m, now = m.refit(sums)
+        if last is not None and now - last < 1e-3:
+            break
+        last = now
     p = m.posterior(shaped(examples))
     classes = sorted(set(kinds))
     votes = np.stack([p[kinds == c].mean(0) for c in classes])
@@ -182,6 +201,25 @@ def fit_quality(scanned: DataFrame, components: int = COMPONENTS, fit_rows: int
     return m, names
 
 
+def _expected(known: DataFrame, m: mixture.Mixture) -> np.ndarray:
+    """``m.sums`` over all rows: summed within partitions, then per component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = 0
+        for b in batches:
+            if b.num_rows:
+                total = total + m.sums(shaped(np.array(b.column(0).to_pylist())))
+        if not isinstance(total, int):
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["k", "s"])
+
+    parts = known.select("stats").mapInArrow(run, "k int, s array<double>")
+    rows = parts.select("k", F.posexplode("s").alias("i", "x")).groupBy("k", "i").agg(F.sum("x").alias("x")).collect()  # a fixed number
+    out = m.sums(np.empty((0, len(SHAPES))))
+    for r in rows:
+        out[r["k"], r["i"]] = r["x"]
+    return out
+
+
 def with_quality(scanned: DataFrame, model: tuple[mixture.Mixture, list[str]]) -> DataFrame:
     """``scanned`` with ``kind`` (prose, list, table, junk; null without own words) and its probability."""
     m, names = model
@@ -206,45 +244,39 @@ def with_quality(scanned: DataFrame, model: tuple[mixture.Mixture, list[str]]) -
 def with_spam(scanned: DataFrame) -> DataFrame:
     """``scanned`` with ``spam``.
 
-    The block-wise compression of a page's own lines, already normalized by length, is set against the
-    median of its language. Redundancy is spam if sentence punctuation is sparse and a few content words keep coming
-    back, or, where sentences are punctuated, if they do so even more. Link lists hardly repeat themselves: a page
-    whose lines are mostly links is spam by that alone.
+    The block-wise compression of a page's own lines, already normalized by length, is set against the median of
+    its language. It is extreme if it lies ``EXTREME`` deviations below; the deviation is that of the middle half of
+    the language's pages. Low density of sentence ends confirms it; where sentences are punctuated it must be
+    more extreme. Machine output and item lists repeat themselves too, but in digits, symbols and item marks.
     """
-    medians = (
+    languages = (
         scanned.where("redundancy IS NOT NULL AND language IS NOT NULL")
         .groupBy(F.col("language").alias("_l"))
-        .agg(F.percentile_approx("redundancy", 0.5).alias("_m"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.percentile_approx("redundancy", [0.25, 0.5, 0.75]).alias("_q"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") >= MIN_LANGUAGE_PAGES)
-        .select("_l", "_m")
-    )
-    r = F.col("redundancy") / F.coalesce("_m", F.lit(1.0))
-    kw, symbols, digits = F.col("keyword_share"), F.col("stats")[2], F.col("stats")[3]
-    wordy = (digits < 0.08) & (symbols < 0.08)
-    sparse = F.col("sentence_density") < 0.03
-    spam = (
-        (wordy & (r < MAX_REDUNDANCY) & (kw >= F.when(sparse, MIN_KEYWORDS).otherwise(MIN_KEYWORDS_IN_SENTENCES)))
-        | ((digits < 0.08) & (F.col("tag_share") >= 0.2) & (r < MAX_REDUNDANCY))
-        | (F.col("link_share") >= 0.6)
+        .select("_l", F.col("_q")[1].alias("_m"), ((F.col("_q")[2] - F.col("_q")[0]) / 1.349).alias("_d"))
     )
+    below = (F.coalesce("_m", F.lit(1.0)) - F.col("redundancy")) / F.coalesce("_d", F.lit(0.045))
+    st = dict(zip(stats.NAMES, (F.col("stats")[i] for i in range(len(stats.NAMES))), strict=True))
+    worded = (st["digit_ratio"] < 0.08) & (st["symbol_ratio"] < 0.1) & (st["item_marks"] < 0.17)
+    spam = worded & (below >= F.when(F.col("sentence_density") < SPARSE, EXTREME).otherwise(EXTREME_IN_SENTENCES))
     # at most one row a language of COMMON_WORDS
     return (
-        scanned.join(F.broadcast(medians), F.col("language") == F.col("_l"), "left")
-        .withColumn("spam", F.coalesce(spam, F.lit(False)))
-        .drop("_l", "_m")
+        scanned.join(F.broadcast(languages), F.col("language") == F.col("_l"), "left")
+        .withColumns({"compression": below, "spam": F.coalesce(spam, F.lit(False))})
+        .drop("_l", "_m", "_d")
     )
 
 
-def assess(pages: DataFrame, wrappers: Wrappers | None = None, network: langid.Network | None = None) -> DataFrame:
-    """One row per page: ``SCHEMA`` with spam, kind and kind_p, ``low_quality`` for pages that are neither
-    residue nor spam but mainly list, table or junk, and ``sound`` for pages that are none of the three.
+def assess(pages: DataFrame, network: langid.Network | None = None) -> DataFrame:
+    """One row per page: ``SCHEMA`` with compression (deviations below the language's median), spam, kind and kind_p,
+    ``low_quality`` for pages that are neither residue nor spam but mainly list, table or junk, and ``sound`` for pages
+    that are none of the three.
 
     Doubled pages come out once. The pass over the texts is written to the shared folder, as the statistics
     of all pages are needed before any page can be judged.
     """
-    wrappers = wrappers or infer(pages)
-    scanned = materialize(scan(pages.where("page_id IS NOT NULL"), wrappers, network), "page-scan").dropDuplicates(["page_id"])
-    scanned = with_spam(scanned)
+    scanned = with_spam(materialize(scan(pages, wrappers(pages), network), "page-scan"))
     judged = with_quality(scanned, fit_quality(scanned))
     low = F.coalesce(F.col("kind") != "prose", F.lit(False)) & ~F.col("residue") & ~F.col("spam")
     return judged.withColumn("low_quality", low).withColumn("sound", ~(F.col("residue") | F.col("spam") | low))

@@ -28,7 +28,7 @@ def p1_articles(spark: SparkSession, sf: str) -> DataFrame:
 def _with_languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     src, codes = table(spark, sf, "pages_index"), table(spark, sf, "language_codes")
     labels = src.select("page_id", langid.normalized_label(F.col("language"), codes).alias("lang"))
-    return pages.assess(src, network=langid.train_on_labels(src, codes)), labels
+    return pages.assess(src, langid.train_on_labels(src, codes)), labels
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -71,6 +71,12 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue.residue_pages(src).where("residue").select("page_id").distinct()
 
 
+def p5_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of which residue covers little, with that share: the operator's rule, relative to the document's length."""
+    src = table(spark, sf, "pages_index").select("page_id", "title", "content.paragraphs")
+    return residue.without_residue(src).dropDuplicates(["page_id"])
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     # a page that is residue is no spam case of its own: p4, p5 and p6 exclude one another
     return pages.assess(table(spark, sf, "pages_index")).where("spam AND NOT residue").select("page_id")
@@ -101,7 +107,7 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    p1_found, p1_articles, p2_found, p2_segments, p3_found, p3_clean, p4_found, p4_statistics, p5_found, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
+    p1_found, p1_articles, p2_found, p2_segments, p3_found, p3_clean, p4_found, p4_statistics, p5_found, p5_clean, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
 )}
 
 SQL: dict[str, str] = {

@@ -13,11 +13,15 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import spread
+from .stats import COMMON
 
 #: share of a line's characters that must be matched
 MIN_COVER = 0.33
+#: share of a document's characters from which it is excluded as a whole
+MAX_COVERAGE = 0.2
 
 # Error, filler and script-required phrases, by language.
 PHRASES = """
@@ -74,7 +78,6 @@ lorem ipsum dolor sit amet
 consectetur adipiscing elit
 your text goes here
 replace this paragraph with your own words
-before the page goes live
 this is a sample page
 edit or delete it, then start writing
 add a short introduction here
@@ -83,11 +86,10 @@ coming soon
 dummy text
 placeholder copy
 placeholder text
-to be supplied by the client
 todo: write the description
 tbd
 asdf
-qwer
+qwerty
 test test
 page title here
 untitled document
@@ -95,7 +97,6 @@ untitled document
 undefined
 null
 nan
-[sample]
 seite nicht gefunden
 die angeforderte seite existiert nicht
 bitte prüfen sie die adresse
@@ -166,48 +167,33 @@ just a moment...
 503
 """.strip().split("\n")
 
-# Frames that templates put around placeholders; they count only beside one.
-FRAMES = """
-welcome to
-willkommen bei
-bienvenue sur
-bienvenidos a
-bem-vindo a
-benvenuti su
-добро пожаловать на
-your place for
-hier finden sie alles über
-read our review of
-and find out why
-is the right choice
-article by
-posted
-dear
-thank you for visiting
-we hope you like
-""".strip().split("\n")
+# Words of the usual dummy Latin (the passage that begins "lorem ipsum").
+DUMMY_LATIN = """
+lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim
+veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate
+velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit
+anim laborum vestibulum pellentesque vivamus aliquam suspendisse curabitur
+""".split()
+#: of these words a line with words of a living language must hold so many different ones
+MIN_LATIN_WORDS = 3
+#: common words of the languages that are no Latin words too
+LIVING = COMMON - set("a ad de e et ex i in la le me ne no non nos o per re se si su tu un ut".split())
 
 PLACEHOLDER = re.compile(
     r"\{\{[^{}\n]{0,80}\}\}|\{%[^%\n]{0,80}%\}|<%[^%\n]{0,80}%>|\$\{[^{}\n]{1,60}\}|#\{[^{}\n]{1,60}\}|\{[A-Za-z_]{2,40}\}|\[\[[\w -]{1,40}\]\]"
     r"|@@[\w-]{1,40}@@|%%[\w-]{1,40}%%|__[A-Z][A-Z_]{1,38}__|%\([A-Za-z_]{1,40}\)[sd]|\[INSERT [^\]\n]{1,40}\]|<[A-Za-z_ ]{1,40} goes here>"
     r"|\[(?:[a-z]+_[a-z_]+|title|headline|summary|author|price|name|text|url|image|content)\]"
 )
-#: dummy Latin and dummy letters: an opening that makes the whole line filler
-FILLER = re.compile(r"\W*(?:lorem ipsum\b|lorem \w+ \w+ \w+ in\b|x{4,} x{3,})", re.I)
-#: dummy Latin without its usual opening is told by its words
-LATIN = re.compile(
-    r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|aliquam|vestibulum|nulla|"
-    r"viscus|veliam|aliquem|nullis|seliam|quodem|vantra|leniter|conde|tantem|laboret|prosit|ferem|dolunt|orbis|rectis|temper|magnet|nimia|amera)\b"
-)
 HINTS = ("{", "@@", "%%", "__", "%(", "[", "<%", "goes here>", "${", "#{")
 
 
 def automaton() -> ahocorasick.Automaton:
+    """Phrases, and words of dummy Latin (marked); values are the length and the mark."""
     a = ahocorasick.Automaton()
+    for p in DUMMY_LATIN:
+        a.add_word(p, (len(p), True))
     for p in PHRASES:
         a.add_word(p, (len(p), False))
-    for p in FRAMES:
-        a.add_word(p, (len(p), True))
     a.make_automaton()
     return a
 
@@ -220,33 +206,37 @@ class Residue:
         self.min_cover = min_cover
         self.titles = set(TITLES)
 
-    def cover(self, line: str) -> float:
-        """Share of the line's characters that phrases, placeholders or dummy text cover."""
+    def covered(self, line: str) -> int:
+        """Characters of the line that phrases, placeholders and dummy Latin cover. Words between dummy Latin words
+        belong to it: two such words cover a line without any common word of a living language, three cover from the
+        first to the last."""
         low = line.lower()
-        n = len(low.strip())
-        if not n:
-            return 0.0
+        n = len(line.strip())
         spans: list[tuple[int, int]] = []
-        frames: list[tuple[int, int]] = []
-        for end, (k, frame) in self.iter(low):
+        latin: list[tuple[int, int]] = []
+        for end, (k, word) in self.iter(low):
             a, b = end - k + 1, end + 1
             if (a == 0 or not low[a - 1].isalnum()) and (b == len(low) or not low[b].isalnum()):
-                (frames if frame else spans).append((a, b))
+                (latin if word else spans).append((a, b))
+        if latin and (several := len({low[a:b] for a, b in latin})) > 1:
+            if not LIVING.intersection(low.split()):
+                return n
+            if several >= MIN_LATIN_WORDS:
+                spans.append((latin[0][0], latin[-1][1]))
         if any(h in line for h in HINTS):
-            holes = [m.span() for m in PLACEHOLDER.finditer(line)]
-            if holes:
-                spans += holes + frames
-        if FILLER.match(line):
-            return 1.0
-        if len(words := LATIN.findall(low)) >= 4:
-            spans += [m.span() for m in LATIN.finditer(low)]
-            if len(words) >= 0.5 * len(low.split()):
-                return 1.0
+            spans += [m.span() for m in PLACEHOLDER.finditer(line)]
+        if not spans:
+            return 0
         covered, at = 0, 0
         for a, b in sorted(spans):
             covered += max(0, b - max(a, at))
             at = max(at, b)
-        return min(1.0, covered / n)
+        return covered
+
+    def cover(self, line: str) -> float:
+        """Share of the line's characters that are covered."""
+        n = len(line.strip())
+        return min(1.0, self.covered(line) / n) if n else 0.0
 
     def line(self, line: str | None) -> bool:
         return bool(line) and self.cover(line) >= self.min_cover
@@ -258,16 +248,28 @@ class Residue:
 
 
 def residue_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, residue) of each row of ``pages`` (page_id, title, paragraphs ARRAY<STRING>).
+    """(page_id, residue, coverage) of each row of ``pages`` (page_id, title, paragraphs ARRAY<STRING>).
 
-    True if the title or at least one line is residue. Null titles, paragraphs and lines match nothing.
+    ``residue`` is true if the title or at least one line is residue, ``coverage`` the matched share of all
+    characters of the lines (0 without lines), by which a page is excluded as a whole (:func:`without_residue`).
+    Null titles, paragraphs and lines match nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = Residue()
         for batch in batches:
-            titles, lines = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            found = pa.array([r.title(t) or any(map(r.line, x or ())) for t, x in zip(titles, lines, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["page_id", "residue"])
+            found, coverage = [], []
+            for title, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                sizes = [(len(x.strip()), r.covered(x)) for x in lines or () if x]
+                found.append(r.title(title) or any(c >= r.min_cover * n > 0 for n, c in sizes))
+                coverage.append(min(1.0, sum(c for _, c in sizes) / max(1, sum(n for n, _ in sizes))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_()), pa.array(coverage, pa.float64())], names=["page_id", "residue", "coverage"])
+
+    return spread(pages.select("page_id", "title", "paragraphs")).mapInArrow(run, "page_id long, residue boolean, coverage double")
+
 
-    return spread(pages.select("page_id", "title", "paragraphs")).mapInArrow(run, "page_id long, residue boolean")
+def without_residue(pages: DataFrame, max_coverage: float = MAX_COVERAGE) -> DataFrame:
+    """``page_id`` and ``coverage`` of the pages to keep: matched coverage low relative to the document's length and
+    no residue as title."""
+    judged = residue_pages(pages)
+    return judged.where(F.col("coverage") < max_coverage).select("page_id", "coverage")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 
 # The most common function words, by language (ISO 639-3).
 COMMON_WORDS = {
@@ -24,52 +23,101 @@ _DIGIT = re.compile(r"\d")
 _END = (".", "!", "?", "…", ".”", '."', "»", "”", '"', ")")
 _MARK = re.compile(r"(?:[•*▪◦·–-]|\[ ?[xX]?\]|\]|\[|\d{1,3}[.)])")
 _STRIP = ".,;:!?'\"’‘“”«»„…()[]{}-–—|/*•#<>="
-_WORD = re.compile(r"[^\W\d_]{3,}")
 _COMMON_SETS = {lang: frozenset(words) for lang, words in COMMON_WORDS.items()}
+_LANGUAGES = list(COMMON_WORDS)
 #: bytes of a compression block
 BLOCK = 1024
+#: distinct words a worker remembers; the memory is emptied when full
+MEMORY_WORDS = 200_000
+_FIELD = 40
+_MASK = (1 << _FIELD) - 1
 
 
-def text_stats(text: str | None) -> list[float] | None:
-    """Statistics of a text in the order of ``NAMES``; null for texts without words.
+class _Words(dict):
+    """What each word adds to the counts of a text, as fields of one integer, so that a text is one sum."""
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        fields = [
+            len(word), len(_SYMBOL.findall(word)), len(_DIGIT.findall(word)), low in COMMON, low.strip(_STRIP).isalpha(),
+            word[-1] in ",;", len(word) < 5 and _MARK.fullmatch(low) is not None, *(low in _COMMON_SETS[x] for x in _LANGUAGES),
+        ]
+        packed = sum(int(f) << (_FIELD * i) for i, f in enumerate(fields))
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        self[word] = packed
+        return packed
+
+
+_words = _Words()
+
 
-    Lines are the text's lines; a text without line breaks is one line.
+def measure(text: str | None) -> tuple[list[float] | None, str | None]:
+    """Statistics of a text in the order of ``NAMES`` and the language whose common words are the most frequent.
+
+    Null for texts without words (and for the language if no word is common). Lines are the text's lines; a text
+    without line breaks is one line.
     """
-    if not text:
-        return None
-    words = text.split()
+    words: list[str] = []
+    sizes, ended = [], []
+    for line in (text or "").split("\n"):
+        if x := line.split():
+            words += x
+            sizes.append(len(x))
+            ended.append(x[-1].endswith(_END))
     n = len(words)
     if not n:
-        return None
-    lines = [x for x in map(str.strip, text.split("\n")) if x]
-    low = text.lower().split()
-    size = len(text)
-    sizes = [len(x.split()) for x in lines]
-    ended = [x.endswith(_END) for x in lines]
+        return None, None
+    total = sum(map(_words.__getitem__, words))
+    letters, symbols, digits, common, alpha, commas, marks, *by_language = ((total >> (_FIELD * i)) & _MASK for i in range(7 + len(_LANGUAGES)))
+    most = max(by_language)
     return [
         float(n),
-        sum(map(len, words)) / n,
-        len(_SYMBOL.findall(text)) / size,
-        len(_DIGIT.findall(text)) / size,
-        sum(ended) / len(lines),
+        letters / n,
+        symbols / len(text),
+        digits / len(text),
+        sum(ended) / len(sizes),
         sum(k for k, e in zip(sizes, ended, strict=True) if e) / n,
-        sum(map(COMMON.__contains__, low)) / n,
-        n / len(lines),
-        sum(k < 6 for k in sizes) / len(lines),
-        1.0 - sum(map(str.isalpha, [w.strip(_STRIP) for w in low])) / n,
-        sum(w[-1] in ",;" for w in words) / n,
-        sum(len(w) < 5 and _MARK.fullmatch(w) is not None for w in words) / n,
-    ]
+        common / n,
+        n / len(sizes),
+        sum(k < 6 for k in sizes) / len(sizes),
+        1.0 - alpha / n,
+        commas / n,
+        marks / n,
+    ], _LANGUAGES[by_language.index(most)] if most else None
+
+
+def text_stats(text: str | None) -> list[float] | None:
+    """Statistics of a text in the order of ``NAMES``; null for texts without words."""
+    return measure(text)[0]
+
+
+#: web addresses; their characters tell nothing about how a text repeats itself
+_ADDRESS = re.compile(rb"(?:https?://|www\.)[^\s<>\"\])]+|[\w-]+(?:\.[\w-]+)*\.[a-z]{3,}\b(?:/[^\s<>\"\])]*)?")
+_DOTTED = re.compile(rb"\w\.[a-z]{3}|://")
 
 
 def block_ratios(text: str) -> list[tuple[int, float]]:
-    """(bytes, compressed bytes / bytes) of each block of a text; the last one may be short."""
-    raw = text.encode("utf-8", "replace")
-    return [(len(b), len(zlib.compress(b, 6)) / len(b)) for b in (raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK))]
+    """(bytes, compressed bytes / bytes) of each block of a lower-cased text; the last one may be short.
+
+    A web address is one symbol to the compressor, though all its bytes count as text: what is compressed is
+    the wording, and a list of links has hardly any.
+    """
+    raw = text.lower().encode("utf-8", "replace")
+    out = []
+    for i in range(0, len(raw), BLOCK):
+        block = raw[i : i + BLOCK]
+        said = _ADDRESS.sub(b"\1", block) if _DOTTED.search(block) else block
+        out.append((len(block), len(zlib.compress(said, 6)) / len(block)))
+    return out
 
 
 def expected_ratio(n: int) -> float:
-    """Compression ratio of usual prose in a block of ``n`` bytes: short blocks carry the overhead and repeat less."""
+    """Compression ratio of usual prose in a block of ``n`` bytes: short blocks carry the overhead and repeat less.
+
+    The shape over the length of a curve through blocks of prose; the level is taken from each language's own pages
+    (``pages.with_spam``).
+    """
     return 0.2958 - 5.418 / n + 6.4996 * n**-0.5
 
 
@@ -83,22 +131,7 @@ def redundancy(text: str) -> float:
     return sum(n * r / expected_ratio(n) for n, r in blocks) / total if total else 1.0
 
 
-def keyword_share(text: str) -> float:
-    """Repeats of the three most frequent content words (three letters or more, no common words) among all of them.
-
-    A word's first occurrence is no repeat, so short natural texts stay near 0.
-    """
-    words = [w for w in _WORD.findall(text.lower()) if w not in COMMON]
-    if not words:
-        return 0.0
-    return sum(n - 1 for _, n in Counter(words).most_common(3)) / len(words)
-
 
-def main_language(low_words: list[str]) -> str | None:
+def main_language(text: str) -> str | None:
     """The language whose common words are the most frequent; null if there are none."""
-    best, most = None, 0
-    for lang, words in _COMMON_SETS.items():
-        k = sum(map(words.__contains__, low_words))
-        if k > most:
-            best, most = lang, k
-    return best
+    return measure(text)[1]
