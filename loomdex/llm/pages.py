@@ -71,18 +71,18 @@ def by_host(pages: DataFrame, entries: DataFrame) -> DataFrame:
     A host with more than ``HOST_SHARE`` of all pages is cut into salts; the wrapper stands before each of them. Such
     hosts are at most 1 / ``HOST_SHARE``, so what is broadcast is bounded whatever the corpus.
     """
-    sizes = host_sizes(pages.withColumn("domain", F.coalesce("domain", F.lit(""))))
+    sizes = host_sizes(pages)
     total = sizes.agg(F.sum("pages")).first()[0] or 0
-    large = sizes.where(F.col("pages") > HOST_SHARE * total).select("domain", F.ceil(F.col("pages") / max(1.0, HOST_SHARE * total)).cast("int").alias("salts"))
+    share = max(1.0, HOST_SHARE * total)
     # no more rows than 1 / HOST_SHARE
-    large = F.broadcast(large.limit(int(1 / HOST_SHARE)))
+    large = F.broadcast(sizes.where(F.col("pages") > share).select("d", F.ceil(F.col("pages") / share).cast("int").alias("salts")).limit(int(1 / HOST_SHARE)))
     salts = F.coalesce("salts", F.lit(1))
-    rows = pages.select("page_id", F.coalesce("domain", F.lit("")).alias("domain"), "title", F.col("content.paragraphs").alias("paragraphs"))
-    rows = rows.join(large, "domain", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), salts).cast("int")).drop("salts")
-    heads = entries.join(large, "domain", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    rows = pages.select(F.xxhash64(F.coalesce("domain", F.lit(""))).alias("d"), "page_id", F.coalesce("domain", F.lit("")).alias("domain"), "title", F.col("content.paragraphs").alias("paragraphs"))
+    rows = rows.join(large, "d", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), salts).cast("int")).drop("salts")
+    heads = entries.join(large, "d", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     both = rows.unionByName(heads, allowMissingColumns=True)
-    placed = both.repartition("domain", "salt").sortWithinPartitions("domain", "salt", F.col("page_id").asc_nulls_first())
-    return placed.select("page_id", "domain", "title", "paragraphs", "entries")
+    placed = both.repartition("d", "salt").sortWithinPartitions("d", "salt", F.col("page_id").asc_nulls_first())
+    return placed.select("d", "page_id", "domain", "title", "paragraphs", "entries")
 
 
 def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None = None) -> DataFrame:
@@ -98,18 +98,19 @@ def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, residue = shared.value, Residue()
-        wrapper, last = Wrapper(""), None
+        wrapper, host, last = Wrapper(""), None, None
         for batch in batches:
             out, owns = [], []
-            for page, domain, title, lines, heads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for d, page, domain, title, lines, heads in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if page is None:
-                    wrapper, last = Wrapper(domain, heads), None
+                    wrapper, host, last = Wrapper("", heads), d, None
                     continue
-                if wrapper.domain != domain:
-                    wrapper = Wrapper(domain)
-                if (domain, page) == last:
+                if host != d:
+                    wrapper, host = Wrapper(""), d
+                wrapper.domain = domain
+                if (d, page) == last:
                     continue
-                last = (domain, page)
+                last = (d, page)
                 lines = lines or []
                 is_furniture = list(map(wrapper.furniture, lines))
                 own = [x for x, f in zip(lines, is_furniture, strict=True) if x and not f]
