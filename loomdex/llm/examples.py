@@ -48,4 +48,12 @@ EXAMPLES = [
     ("junk", "q7fk2 9zmx4v p0 h8w3r}t k{2j vn5b6 ~x9c 4lq8s7d zz1 g6|p w0e3r5 t7y bn2m4 kx8 {a9s d3f} 5gh j1k~ l0p o9i8 u7y6 t5"),
     ("junk", "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q/bm90aGluZyB0byBzZWU+aGVyZQx9Kz3vQm8tYWJj\nZGVmZ2hpamtsbW5vcHFyc3R1dnd4eXoxMjM0NTY3ODkwQUJDREVGR0hJSktMTU5PUA=="),
     ("junk", "Ã¼ber Ã¤n â€™st ï¿½ Ð¸Ñ xxxx Ã©Ã¨ â€œ Â» ��n Ã¶st xxer ï¿½n Ã¤er ��� Ð¾Ñ Â» xxxxxst Ã¼n â€™er Ã©Ã¨n"),
+    ("prose", "Our teacher walked to the station in the rain, and the train had already left when she came. She waited for the next one in the small café and read the paper from the day before"),
+    ("prose", "The letters lay in a box under the stairs for forty years. Nobody had asked for them, and nobody knew who had written them, until the house was sold\nThe new owners gave them to the library, where they can be read on weekdays."),
+    ("prose", "Quand la pluie a cessé, les enfants sont sortis dans la cour et ont joué jusqu’au soir. Leur grand-mère les regardait par la fenêtre de la cuisine, une tasse de thé à la main\nLe lendemain, tout le village parlait de la crue."),
+    ("prose", "La nonna ha preparato il pane come ogni sabato, e i vicini sono venuti a prenderlo prima di mezzogiorno. Poi si sono seduti tutti insieme all’ombra del fico e hanno parlato della vendemmia"),
+    ("prose", "Als der Zug endlich kam, war es schon dunkel, und die meisten Leute waren nach Hause gegangen. Der Schaffner entschuldigte sich bei allen, die noch da waren, und ließ sie ohne Fahrkarte einsteigen"),
+    ("prose", "El barco salió del puerto con dos horas de retraso porque faltaba el cocinero. Nadie se quejó, pues todos sabían que sin él la travesía sería muy larga\nAl final llegaron de noche, con hambre y de buen humor."),
+    ("junk", "&^%$ #@!* ~~|| <>?: {}[] =+=- _-_ %%%% ^^^^ ;;:: **&& ((%) $#$ @@!! ~^~ |_| <<>> ??!! +-+-\n#$%^ &*() _+|~ {}:? ><><"),
+    ("junk", "*** /// ### === +++ --- @@@ $$$ ||| ~~~ <<< >>> %%% ^^^ &&& ___ \\\\\\ !!! ;;; ::: ((( ))) [[[ ]]]"),
 ]

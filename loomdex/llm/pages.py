@@ -165,7 +165,7 @@ def fit_quality(scanned: DataFrame, components: int = COMPONENTS, start_rows: in
     Fitted by EM over all pages that are neither residue nor spam, and the inspected examples. The first guess comes
     from at most ``start_rows`` pages picked by a hash of the id; from there each round is one pass over all pages
     that sums what the next round needs. A component gets the class whose examples it explains most; one without
-    examples gets the class of the nearest component that has some.
+    examples gets the class of the example nearest to its center.
     """
     known = scanned.where("stats IS NOT NULL AND NOT residue AND NOT spam")
     cols = shaped_columns()
@@ -191,13 +191,12 @@ def fit_quality(scanned: DataFrame, components: int = COMPONENTS, start_rows: in
     classes = sorted(set(kinds))
     votes = np.stack([p[kinds == c].mean(0) for c in classes])
     named = votes.max(0) > 0.02
-    if not named.any():
-        named[:] = True
+    at = (shaped(examples) - m.mean) / m.scale
     names = []
     for k in range(len(m.weights)):
         if not named[k]:
-            d = np.where(named, ((m.centers - m.centers[k]) ** 2).sum(1), np.inf)
-            k = int(d.argmin())
+            names.append(str(kinds[int(((at - m.centers[k]) ** 2).sum(1).argmin())]))
+            continue
         names.append(classes[int(votes[:, k].argmax())])
     return m, names
 
@@ -259,7 +258,7 @@ def with_spam(scanned: DataFrame) -> DataFrame:
     )
     below = (F.coalesce("_m", F.lit(1.0)) - F.col("redundancy")) / F.coalesce("_d", F.lit(0.045))
     st = dict(zip(stats.NAMES, (F.col("stats")[i] for i in range(len(stats.NAMES))), strict=True))
-    worded = (st["digit_ratio"] < 0.08) & (st["symbol_ratio"] < 0.1) & (st["item_marks"] < 0.17)
+    worded = (st["digit_ratio"] < 0.08) & (st["symbol_ratio"] < 0.1) & ~((st["item_marks"] >= 0.17) & (st["short_lines"] > 0.5))
     spam = worded & (below >= F.when(F.col("sentence_density") < SPARSE, EXTREME).otherwise(EXTREME_IN_SENTENCES))
     # at most one row a language of COMMON_WORDS
     return (
