@@ -258,7 +258,7 @@ def with_spam(scanned: DataFrame) -> DataFrame:
     )
     below = (F.coalesce("_m", F.lit(1.0)) - F.col("redundancy")) / F.coalesce("_d", F.lit(0.045))
     st = dict(zip(stats.NAMES, (F.col("stats")[i] for i in range(len(stats.NAMES))), strict=True))
-    worded = (st["digit_ratio"] < 0.08) & (st["symbol_ratio"] < 0.1) & ~((st["item_marks"] >= 0.17) & (st["short_lines"] > 0.5))
+    worded = (st["digit_ratio"] < 0.08) & (st["symbol_ratio"] < 0.15) & ~((st["item_marks"] >= 0.17) & (st["short_lines"] > 0.5))
     spam = worded & (below >= F.when(F.col("sentence_density") < SPARSE, EXTREME).otherwise(EXTREME_IN_SENTENCES))
     # at most one row a language of COMMON_WORDS
     return (
