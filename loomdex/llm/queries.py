@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
-from . import bpe, langid, packing, pages, pii, repeated, residue
+from . import bpe, contributors, langid, packing, pages, pii, repeated, residue
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,11 +106,11 @@ def p10_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return pii.redacted(bpe.one_row_per_key(table(spark, sf, "documents"), "doc_id"))
 
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = contributors.QUERIES | {f.__name__: f for f in (
     p1_found, p1_articles, p2_found, p2_segments, p3_found, p3_clean, p4_found, p4_statistics, p5_found, p5_clean, p6_found, p8_ids, p9_packing, p10_found, p10_redacted,
 )}
 
-SQL: dict[str, str] = {
+SQL: dict[str, str] = contributors.SQL | {
     "p3_found": """
         WITH l AS (
             SELECT DISTINCT page_id, domain, i - 1 AS para_no,
