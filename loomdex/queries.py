@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .catalog import content, crawl, search, streams, urls
+from .catalog import content, crawl, queues, search, streams, urls
 
-_PARTS = [urls, content, crawl, search, streams]
+_PARTS = [urls, content, crawl, queues, search, streams]
 
 QUERIES = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 SQL = {k: q for part in _PARTS for k, q in part.SQL.items()}
