@@ -7,25 +7,23 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import search
-from ..session import materialize, table
+from ..session import built_once, materialize, table
 from .content import _index
 
 #: searches run with every request whose id is divisible by this, against all pages
 EVERY = 100
 
 
-def _requests(spark: SparkSession, sf: str) -> list:
-    q = table(spark, sf, "search_queries").where(F.col("query_id") % EVERY == 0).distinct()
-    return q.where("q IS NOT NULL AND trim(q) <> ''").orderBy("query_id").collect()
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """(query, asked) of the requests searched with."""
+    q = table(spark, sf, "search_queries").where((F.col("query_id") % EVERY == 0) & (F.trim("q") != ""))
+    return q.select(F.col("query_id").alias("query"), F.col("q").alias("asked")).distinct()
 
 
 def _page_index(spark: SparkSession, sf: str, analyzed: bool = False) -> search.Index:
-    built = search.build_index(search.page_fields(_index(spark, sf)), analyzed)
-    postings = materialize(built.postings, "postings")
-    return search.Index(
-        postings, materialize(built.lengths, "lengths"),
-        materialize(postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")), "terms"), materialize(built.fields, "fields"),
-    )
+    """The index of all pages, written once a session for all queries that use it."""
+    source = table(spark, sf, "pages_index")
+    return built_once(spark, source, f"page-index-{analyzed}", lambda: search.written_index(search.page_fields(_index(spark, sf)), analyzed))
 
 
 def bm25_single_field(spark: SparkSession, sf: str) -> DataFrame:
@@ -38,9 +36,7 @@ def bm25_single_field(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    reqs = _requests(spark, sf)
-    ix = _page_index(spark, sf)
-    return search.score(ix, search.query_terms(spark, [(r["query_id"], r["q"]) for r in reqs]))
+    return search.score(_page_index(spark, sf), search.request_terms(_requests(spark, sf)))
 
 
 def bm25_best_fields(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,29 +76,23 @@ def phrase_match(spark: SparkSession, sf: str) -> DataFrame:
 
 def bm25_analyzed(spark: SparkSession, sf: str) -> DataFrame:
     """ANA-3 to ANA-6, FTS-3, JOIN-11: each request with stems, stop words, synonyms, word parts and fuzzy terms."""
-    reqs = [(r["query_id"], r["q"]) for r in _requests(spark, sf)]
     ix = _page_index(spark, sf, analyzed=True)
-    terms = materialize(search.query_terms(spark, reqs, analyzed=True, fuzzy=ix.terms), "query-terms")
+    terms = materialize(search.request_terms(_requests(spark, sf), analyzed=True, fuzzy=ix.terms), "query-terms")
     urls = _index(spark, sf).select(F.col("page_id").alias("doc"), "url")
     return search.top(search.score(ix, terms).join(urls, "doc"), 10).select(F.col("query").alias("query_id"), "rank", F.col("doc").alias("page_id"), F.round("score", 5).alias("score"))
 
 
 def bm25_quoted(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-7, FTS-8: quoted requests; the phrase must stand in title and text, scores of the branches are added."""
-    reqs = [r for r in table(spark, sf, "search_queries").where("q LIKE '\"%\"'").distinct().collect()]
+    asked = table(spark, sf, "search_queries").where("q LIKE '\"%\"'").select(F.col("query_id").alias("query"), F.col("q").alias("asked")).distinct()
     ix = _page_index(spark, sf, analyzed=True)
-    from ..functions.analysis import analyze
-
-    asked = [(r["query_id"], r["q"]) for r in reqs]
-    words = spark.createDataFrame([(r["query_id"], i, t) for r in reqs for i, t in analyze(search.phrase_of(r["q"]))], "query long, pos int, term string")
-    found = search.both([search.score(ix, search.query_terms(spark, asked, analyzed=True)), search.phrase(ix, words, search.PHRASE_BOOSTS)])
+    found = search.both([search.score(ix, search.request_terms(asked, analyzed=True)), search.phrase(ix, search.phrase_terms(asked), search.PHRASE_BOOSTS)])
     return found.select(F.col("query").alias("query_id"), F.col("doc").alias("page_id"), F.round("score", 5).alias("score"))
 
 
 def highlight_snippets(spark: SparkSession, sf: str) -> DataFrame:
     """FTS-9, ANA-7, PRJ-2: highlights and description of the ten best pages of each request."""
-    reqs = _requests(spark, sf)
-    asked = spark.createDataFrame([(r["query_id"], r["q"]) for r in reqs], "query long, asked string")
+    asked = _requests(spark, sf)
     pages = _index(spark, sf).select(F.col("page_id").alias("doc"), "url", F.array_join(search.all_text(None), " ").alias("body"), "meta_description", "og_description")
     best = search.top(_ranked(spark, sf).join(pages.select("doc", "url"), "doc"), 10).join(pages.drop("url"), "doc").join(asked, "query")
     marked = search.highlight(best, "body", "asked")

@@ -110,8 +110,9 @@ def robots_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 def sitemap_parse(spark: SparkSession, sf: str) -> DataFrame:
     """FN-R3, FN-R4, FLT-19, FLT-20, FLT-22: locations of a sitemap made of each site's pages."""
-    pages = table(spark, sf, "pages_index").select("domain", "url").distinct()
-    xml = pages.groupBy("domain").agg(
+    # a site's pages are written as several sitemaps, so that none grows with the site
+    pages = table(spark, sf, "pages_index").select("domain", "url", F.shiftright("page_id", 10).alias("block")).distinct()
+    xml = pages.groupBy("domain", "block").agg(
         F.concat(F.lit("<urlset>"), F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>")))), ""),
                  F.concat(F.lit("<LOC>https://"), F.col("domain"), F.lit("/sitemap-2.xml.gz</LOC><loc>ftp://x/y</loc></urlset>"))).alias("xml")
     )

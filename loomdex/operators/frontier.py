@@ -11,6 +11,8 @@ from ..functions import schedule, url
 
 #: rows ranked by one task when the first n of a queue are taken
 QUEUE_BLOCK = 65_536
+#: span in which a domain's requests are ordered by one task
+HOUR_MS = 3_600_000
 
 
 def usable_jobs(jobs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -47,8 +49,12 @@ def accept(jobs: DataFrame, order: str, queued: int, capacity: int | None = None
     room = max(0, (CONFIG.max_queue_size if capacity is None else capacity) - queued)
     block = F.floor(F.col(order) / QUEUE_BLOCK)
     blocks = jobs.groupBy(block.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = blocks.select("_b", before.alias("_before"))
+    # blocks are summed over blocks of blocks, so that each window is as short as one block's rows
+    span = F.floor(F.col("_b") / QUEUE_BLOCK)
+    spans = blocks.groupBy(span.alias("_s")).agg(F.sum("_n").alias("_sn"))
+    earlier = spans.select("_s", F.coalesce(F.sum("_sn").over(W.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_sb"))
+    within = F.coalesce(F.sum("_n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = blocks.withColumn("_s", span).withColumn("_w", within).join(earlier, "_s").select("_b", (F.col("_sb") + F.col("_w")).alias("_before"))
     ranked = jobs.withColumn("_b", block).join(starts, "_b").withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(order)))
     return ranked.withColumn("accepted", F.col("_before") + F.col("_r") <= room).drop("_b", "_before", "_r")
 
@@ -99,5 +105,12 @@ def schedule_retries(jobs: DataFrame, now_ms: Column, zero_based: bool = False)
 def rate_gaps(requests: DataFrame, domain: str, at_ms: str, delay_ms: int | None = None) -> DataFrame:
     """Each request with the gap to its domain's previous one and the wait that the minimum gap asks for."""
     delay = CONFIG.domain_delay_ms if delay_ms is None else delay_ms
-    gap = F.col(at_ms) - F.lag(at_ms).over(W.partitionBy(domain).orderBy(at_ms))
-    return requests.withColumn("gap_ms", gap).withColumn("wait_ms", F.greatest(F.lit(0), F.lit(delay) - F.coalesce(gap, F.lit(delay))).cast("long"))
+    # within an hour of a domain by window; the first request of an hour looks at the last one of the domain's
+    # earlier hours, so that no task holds all of a large domain
+    hours = requests.groupBy(F.col(domain).alias("_d"), F.floor(F.col(at_ms) / HOUR_MS).alias("_h")).agg(F.max(at_ms).alias("_last"))
+    before = hours.select("_d", "_h", F.lag("_last").over(W.partitionBy("_d").orderBy("_h")).alias("_before"))
+    requests = requests.withColumn("_hour", F.floor(F.col(at_ms) / HOUR_MS)).join(before, F.col(domain).eqNullSafe(F.col("_d")) & (F.col("_hour") == F.col("_h")))
+    last = F.coalesce(F.lag(at_ms).over(W.partitionBy(domain, "_hour").orderBy(at_ms)), F.col("_before"))
+    requests = requests.withColumn("_gap", F.col(at_ms) - last)
+    gap = F.col("_gap")
+    return requests.withColumn("gap_ms", gap).withColumn("wait_ms", F.greatest(F.lit(0), F.lit(delay) - F.coalesce(gap, F.lit(delay))).cast("long")).drop("_gap", "_hour", "_h", "_d", "_before")

@@ -8,6 +8,7 @@ postings by term; nothing but the query terms is looked up by name.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import analysis, text
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 #: gap between the positions of a field's values, so that phrases do not cross them
@@ -71,12 +73,25 @@ def build_index(docs: DataFrame, analyzed: bool = False) -> Index:
     else:
         parts = parts.withColumnRenamed("word", "term")
     postings = parts.groupBy("field", "term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    lengths = parts.groupBy("field", "doc").agg(F.count(F.lit(1)).alias("dl"))
+    return from_postings(postings)
+
+
+def from_postings(postings: DataFrame) -> Index:
+    """The statistics of an index from its postings: lengths are sums of term frequencies."""
+    lengths = postings.groupBy("field", "doc").agg(F.sum("tf").alias("dl"))
     terms = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     fields = lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
     return Index(postings, lengths, terms, fields)
 
 
+def written_index(docs: DataFrame, analyzed: bool = False) -> Index:
+    """The index of ``docs`` as tables of the shared folder; the texts are read once."""
+    built = from_postings(materialize(build_index(docs, analyzed).postings, "postings"))
+    built = Index(built.postings, materialize(built.lengths, "lengths"), materialize(built.terms, "terms"), built.fields)
+    fields = built.lengths.groupBy("field").agg(F.count(F.lit(1)).alias("docs"), F.avg("dl").alias("avgdl"))
+    return Index(built.postings, built.lengths, built.terms, materialize(fields, "fields"))
+
+
 def bm25(tf: Column, df: Column, dl: Column, docs: Column, avgdl: Column) -> Column:
     """Lucene's BM25 (no k1 + 1 factor)."""
     idf = F.log1p((docs - df + 0.5) / (df + 0.5))
@@ -89,23 +104,52 @@ def required(clauses: Column) -> Column:
 
 
 def query_terms(spark: SparkSession, queries: list[tuple[int, str]], analyzed: bool = False, fuzzy: DataFrame | None = None) -> DataFrame:
-    """(query, pos, variant, term, weight, clauses) of a list of query texts.
+    """:func:`request_terms` of a few query texts that are in memory anyway."""
+    return request_terms(spark.createDataFrame(queries, "query long, asked string"), analyzed, fuzzy)
+
+
+def request_terms(requests: DataFrame, analyzed: bool = False, fuzzy: DataFrame | None = None) -> DataFrame:
+    """(query, pos, variant, term, weight, clauses) of query texts (query, asked); null and empty ones give no rows.
 
     Terms that stand for one another by synonym rules form variant 0 of a position and count as one term. With
     ``fuzzy`` (the term statistics of an index) terms within the edits allowed, with the same first two letters, are
-    further variants: their weight falls with the distance; at most fifty a term. The list is in memory anyway.
+    further variants: their weight falls with the distance; at most fifty a term.
     """
-    rows = []
-    for q, s in queries:
-        found = [t for _, t in analysis.analyze(s)] if analyzed else analysis.tokens(s)
-        groups = analysis.expand_synonyms(found) if analyzed else [{t} for t in found]
-        rows += [(q, i, 0, t, 1.0, len(groups), t == found[i], len(g) > 1) for i, g in enumerate(groups) for t in sorted(g)]
-    base = spark.createDataFrame(rows, "query long, pos int, variant int, term string, weight double, clauses int, own boolean, grouped boolean")
+    names = ["query", "pos", "variant", "term", "weight", "clauses", "own", "grouped"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for q, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = [t for _, t in analysis.analyze(s or "")] if analyzed else analysis.tokens(s or "")
+                groups = analysis.expand_synonyms(found) if analyzed else [{t} for t in found]
+                rows += [(q, i, 0, t, 1.0, len(groups), t == found[i], len(g) > 1) for i, g in enumerate(groups) for t in sorted(g)]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    schema = "query long, pos int, variant int, term string, weight double, clauses int, own boolean, grouped boolean"
+    base = requests.select(F.col("query").cast("long"), "asked").mapInArrow(run, schema)
     if fuzzy is not None:
         base = base.unionByName(_fuzzy(base, fuzzy))
     return base.drop("own", "grouped")
 
 
+def phrase_terms(requests: DataFrame, analyzed: bool = True) -> DataFrame:
+    """(query, pos, term) of the first quoted part of each query text (query, asked)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for q, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                quoted = phrase_of(s) or ""
+                rows += [(q, i, t) for i, t in (analysis.analyze(quoted) if analyzed else enumerate(analysis.tokens(quoted)))]
+            columns = list(zip(*rows, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string()), strict=True)], names=["query", "pos", "term"])
+
+    return requests.select(F.col("query").cast("long"), "asked").mapInArrow(run, "query long, pos int, term string")
+
+
 def _fuzzy(base: DataFrame, terms: DataFrame) -> DataFrame:
     @F.arrow_udf("int")
     def distance(a: pa.Array, b: pa.Array) -> pa.Array:

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,28 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_built: dict[tuple, object] = {}
+
+
+def built_once(spark: SparkSession, source: DataFrame, label: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes of the files of ``source``, made once a session as long as these files do not change.
+
+    For tables of the shared folder that several queries use, such as a search index.
+    """
+    files = sorted(source.inputFiles())
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    states = []
+    for f in files:
+        at = hadoop(f)
+        st = at.getFileSystem(conf).getFileStatus(at)
+        states.append((f, st.getLen(), st.getModificationTime()))
+    key = (spark.sparkContext.applicationId, label, tuple(states))
+    if key not in _built:
+        _built[key] = build()
+    return _built[key]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a CPU-heavy Python stage at least one task per core.
 
