@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIG
 from ..functions import html, language, robots, text, url
 from ..operators import frontier, index_dml, paging, search
+from ..session import materialize
 
 
 def extract_pages(fetched: DataFrame) -> DataFrame:
@@ -92,7 +93,7 @@ class Searcher:
 
     @classmethod
     def build(cls, pages: DataFrame) -> Searcher:
-        return cls(pages, search.build_index(search.page_fields(pages), analyzed=True).map(lambda d: d.persist()))
+        return cls(pages, search.written_index(search.page_fields(pages), analyzed=True))
 
     def search(self, r: Request) -> dict:
         """Hits and envelope of a request; a ``ValueError`` without a query."""
@@ -112,7 +113,9 @@ class Searcher:
         for name in ("domain", "language", "content_type"):
             if (value := getattr(r, name)) is not None and value != "":
                 pages = pages.where(F.col(name) == value)
-        hits = search.both(must).join(pages, F.col("doc") == F.col("page_id")).drop("query", "doc")
+        # scored once: the count and the rows are both taken from what is written
+        found = materialize(search.both(must).select("doc", "score"), "hits")
+        hits = found.join(pages, F.col("doc") == F.col("page_id")).drop("doc")
         total = hits.count()
         if r.cursor:
             rows = paging.keyset_page(hits, r.sort, r.order, r.cursor, r.limit)
