@@ -176,7 +176,8 @@ def test_align_resolves_mismatches():
     assert go("read also : the mill", "read also : a bus to town") == ["read", "also", ":", f"{S}2,4"]
     assert go("posted by ann in news", "posted in news") == ["posted", f"{O}by_ann", "in", "news"]
     assert go("tag tag end", "tag end", "tag tag tag end")[-1] == "end" and any(x[0] == R for x in go("tag tag end", "tag end"))
-    assert go("comments on the bridge show all", "comments on old mills of the north show all") == ["comments", "on", f"{S}2,5", "show", "all"] or True
+    both = go("comments on the bridge show all", "comments on old mills of the north show all")
+    assert both[:2] == ["comments", "on"] and both[-2:] == ["show", "all"] and any(x[0] == S for x in both)
     variants = ["by ann in news", "by bob smith in news", "by ann and eve in town news", "in news"]
     match = __import__("re").compile(wrappers.expression(wrappers.infer_template(variants))).fullmatch
     assert all(match(" " + v) for v in variants) and not match(" at home in news of the day")
