@@ -12,6 +12,8 @@ are dropped and the host's own name is the token ``@``.
    is left.
 3. A menu is a repeated group of items: its items are counted like lines, and a line that is cut into known items by
    separators is the group ``(item)+``.
+4. Long lines that share both ends are aligned as a whole (:func:`long_templates`). Those of which less than half is the
+   same are different texts; each text is counted again and taken only if it comes back itself.
 
 A template is taken into a host's wrapper if the host itself repeats it, or if at least ``MIN_HOSTS`` hosts use it
 (templates come with the software of a site, so a host with few pages shows some of them once only). A host's wrapper
@@ -21,6 +23,7 @@ holds only what stands on the host's own pages and is applied to these only.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -30,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.url import let
 from ..session import materialize, spread
 
 #: a sequence is constant on a host if it comes back on this share of its further pages (the page that shows it first
@@ -45,7 +49,8 @@ HOST_PAGES = 200
 #: no template
 LONG_CHARS = 200
 MAX_LONG_SHARE = 0.1
-#: tokens that open or close a template, and those that do so on long lines, looked for in so many characters
+#: tokens that open or close a template, and those that do so on long lines; these are looked for in so many characters
+#: first, and in the whole line if so many do not hold them
 EDGE_WORDS = 2
 LONG_EDGE_WORDS = 6
 EDGE_CHARS = 64
@@ -60,6 +65,9 @@ MIN_KNOWN_ITEMS = 0.6
 #: variants aligned by one call, and templates of pieces aligned by one call
 PIECE = 256
 FAN_IN = 64
+#: cells of a table of two lines above which they are aligned by bits, and bytes that these may take at once
+LCS_CELLS = 10_000
+LCS_BYTES = 1 << 24
 #: salts that spread the lines of one host over tasks where its page count is looked up
 SALTS = 16
 
@@ -95,6 +103,24 @@ def opening(t: Column, n: int) -> Column:
     return F.substring_index(t, " ", n)
 
 
+def line_ends(line: Column) -> Column:
+    """The first and the last ``LONG_EDGE_WORDS`` tokens of a long line, as of :func:`tokens` of the whole line.
+
+    The tokens of ``EDGE_CHARS`` characters at either end hold them if there is one more, which the cut may have
+    changed; else the whole line is cut into tokens.
+    """
+    # what the cut leaves of a number is no mark
+    tail = F.ltrim(F.substring(line, -EDGE_CHARS, EDGE_CHARS), F.lit("0123456789.,:/%-"))
+    whole = tokens(line)
+
+    def found(x: Column) -> Column:
+        first, last = opening(x["head"], LONG_EDGE_WORDS), opening(x["tail"], -LONG_EDGE_WORDS)
+        held = (F.length(x["head"]) > F.length(first)) & (F.length(x["tail"]) > F.length(last))
+        return F.when(held, F.concat_ws(" ", first, last)).when(whole == "", "").otherwise(F.concat_ws(" ", opening(whole, LONG_EDGE_WORDS), opening(whole, -LONG_EDGE_WORDS)))
+
+    return let(F.struct(tokens(F.substring(line, 1, EDGE_CHARS)).alias("head"), tokens(tail).alias("tail")), found)
+
+
 def menu_like(line: Column) -> Column:
     """Whether a line has any separator of menu items."""
     return reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in (",", "  ", "|", "·", "/", ">", "»", "–", "•")])
@@ -108,27 +134,27 @@ def menu_items(line: Column) -> Column:
 
 
 def page_lines(pages: DataFrame) -> DataFrame:
-    """(d, page_id, long, t, words, items) of each line with letters; ``d`` is a hash of the domain.
+    """(d, page_id, long, t, words, items, whole) of each line with letters; ``d`` is a hash of the domain.
 
-    ``t`` has the tokens, of long lines those of both ends; ``items`` are those of a menu, empty for other lines. Rows
-    without id or domain and null lines are left out.
+    ``t`` has the tokens, of long lines those of both ends, by which they are grouped; ``whole`` is the line if it is
+    long, else null; ``items`` are those of a menu, empty for other lines. Rows without id or domain and null lines
+    are left out.
     """
     line = F.col("line")
     long = F.length(line) > LONG_CHARS
-    ends = F.concat_ws(" ", F.substring(line, 1, EDGE_CHARS), F.substring(line, -EDGE_CHARS, EDGE_CHARS))
     marks = F.length("t") - F.length(F.translate("t", MARKS, ""))
     src = pages.where("page_id IS NOT NULL AND domain IS NOT NULL").select("page_id", "domain", F.col("content.paragraphs").alias("lines"))
-    t = F.when(F.col("long"), F.concat_ws(" ", opening(F.col("t"), LONG_EDGE_WORDS), opening(F.col("t"), -LONG_EDGE_WORDS))).otherwise(named(F.col("t"), F.col("domain")))
+    t = F.when(F.col("long"), F.col("t")).otherwise(named(F.col("t"), F.col("domain")))
     return (
         spread(src)
         .select("page_id", "domain", F.explode("lines").alias("line"))
         .where("line <> ''")
         .select(
-            "domain", "page_id", long.alias("long"), tokens(F.when(long, ends).otherwise(line)).alias("t"),
+            "domain", "page_id", long.alias("long"), F.when(long, line_ends(line)).otherwise(tokens(line)).alias("t"), F.when(long, line).alias("whole"),
             F.transform(F.coalesce(F.when(~long & menu_like(line), menu_items(line)), F.array().cast("array<string>")), lambda x: named(x, F.col("domain"))).alias("items"),
         )
         .where("t <> ''")
-        .select(F.xxhash64("domain").alias("d"), "page_id", "long", t.alias("t"), (F.size(F.split("t", " ")) - marks).alias("words"), "items")
+        .select(F.xxhash64("domain").alias("d"), "page_id", "long", t.alias("t"), (F.size(F.split("t", " ")) - marks).alias("words"), "items", "whole")
     )
 
 
@@ -160,6 +186,11 @@ def host_counts(lines: DataFrame, sizes: DataFrame) -> DataFrame:
             F.transform("items", lambda x: F.struct(F.lit(ITEM).cast("byte").alias("kind"), _hash(ITEM, x).alias("h"))),
         ))).alias("x"),
     ).select("d", "page_id", "long", "x.kind", "x.h")
+    return _counted(keyed, sizes)
+
+
+def _counted(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Sequences (d, page_id, long, kind, h) counted as :func:`host_counts` states."""
     counted = (
         keyed.groupBy("d", "kind", "h", F.shiftright("page_id", 6).alias("word"))
         .agg(_bits(), F.sum("long").cast("int").alias("long"), F.count(F.lit(1)).cast("int").alias("rows"))
@@ -188,12 +219,12 @@ def named(t: Column, domain: Column) -> Column:
 
 
 def accepted(counts: DataFrame) -> DataFrame:
-    """(d, kind, h, rows): the sequences of each host that its wrapper takes.
+    """(d, kind, h, rows, shared): the sequences of each host that its wrapper takes.
 
     A host counts with its share of further pages; the shares of the hosts that have a sequence are averaged with
     their further pages as weight, ``HOST_PAGES`` at most. Where that average reaches ``MIN_SHARE``, a host that
     reaches it too and has ``MIN_PAGES`` pages of it takes the sequence; where ``MIN_HOSTS`` hosts have it, all of
-    them do.
+    them do (``shared``).
     """
     others = F.col("pages") - 1
     weight = F.least(others, F.lit(HOST_PAGES))
@@ -209,7 +240,7 @@ def accepted(counts: DataFrame) -> DataFrame:
     brief = whole | (F.col("all_long") <= MAX_LONG_SHARE * F.col("all_rows"))
     good = pooled.where(enough & often & brief).select("kind", "h", (F.col("hosts") >= MIN_HOSTS).alias("shared"))
     own = (F.col("n") >= MIN_PAGES) & (F.col("n") - 1 >= MIN_SHARE * others)
-    return counts.join(good, ["kind", "h"]).where(F.col("shared") | own).select("d", "kind", "h", "rows")
+    return counts.join(good, ["kind", "h"]).where(F.col("shared") | own).select("d", "kind", "h", "rows", "shared")
 
 
 # --- alignment ------------------------------------------------------------------------------------------------
@@ -235,6 +266,49 @@ def _is_constant(element: str) -> bool:
     return element[0] > REPEATED
 
 
+def _lcs_rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """For each beginning of ``a`` a number of ``len(b)`` bits; bit j is 0 where one more token of ``b`` adds one to the
+    longest common subsequence."""
+    full, at = (1 << len(b)) - 1, {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    row = full
+    yield row
+    for x in a:
+        y = row & at.get(x, 0)
+        row = ((row + y) | (row - y)) & full
+        yield row
+
+
+def _lcs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence; where its rows would take more than ``LCS_BYTES``, of the two halves of ``a``."""
+    if not a or not b:
+        return []
+    if len(a) > 1 and len(a) * len(b) > 8 * LCS_BYTES:
+        mid = len(a) // 2
+        *_, one = _lcs_rows(a[:mid], b)
+        *_, two = _lcs_rows(a[:mid - 1 : -1], b[::-1])
+        one, two = f"{one:0{len(b)}b}"[::-1], f"{two:0{len(b)}b}"
+        best = now = two.count("0")
+        cut = 0
+        for j in range(len(b)):
+            now += (one[j] == "0") - (two[j] == "0")
+            if now > best:
+                best, cut = now, j + 1
+        return _lcs(a[:mid], b[:cut]) + [(i + mid, j + cut) for i, j in _lcs(a[mid:], b[cut:])]
+    rows, out = list(_lcs_rows(a, b)), []
+    i, j = len(a), len(b)
+    while i and j:
+        if rows[i] >> (j - 1) & 1:
+            j -= 1
+        elif not rows[i - 1] >> (j - 1) & 1:
+            i -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+    return out[::-1]
+
+
 def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Longest common subsequence of the constants of two element lists, common ends first."""
     start, end = 0, 0
@@ -247,6 +321,9 @@ def _matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     common = {x for x in inner_a if _is_constant(x)} & set(inner_b)
     if common:
         ia, ib = [i for i, x in enumerate(inner_a) if x in common], [j for j, x in enumerate(inner_b) if x in common]
+        if len(ia) * len(ib) > LCS_CELLS:
+            found = _lcs([inner_a[i] for i in ia], [inner_b[j] for j in ib])
+            return out + [(start + ia[i], start + ib[j]) for i, j in found] + [(len(a) - end + i, len(b) - end + i) for i in range(end)]
         best = [[0] * (len(ib) + 1) for _ in range(len(ia) + 1)]
         for i in range(len(ia) - 1, -1, -1):
             row, below, x = best[i], best[i + 1], inner_a[ia[i]]
@@ -325,6 +402,73 @@ def infer_template(variants: Iterable[str]) -> str:
     return " ".join(out or [])
 
 
+def infer_texts(variants: Iterable[tuple[str, int]]) -> list[tuple[str, int]]:
+    """Templates with their pages from long token strings or templates, each with its pages.
+
+    A variant is aligned with the first text of which at least half stays constant with it, slots at their widest, the
+    more frequent ones first; else it is a text of its own. Texts on fewer than ``MIN_PAGES`` pages or ``MIN_SHARE`` of
+    all are left out.
+    """
+    texts: list[tuple[list[str], Counter, int, int]] = []
+    total = 0
+    for t, n in sorted(variants, key=lambda v: (-v[1], v[0])):
+        total += n
+        e = t.split(" ")
+        words, width = Counter(filter(_is_constant, e)), _width(e)
+        for k, (other, others, its, pages) in enumerate(texts):
+            # no more can be constant than both have
+            if 2 * min(words.total(), others.total()) < max(width, its) or 2 * (words & others).total() < max(width, its):
+                continue
+            both = align(other, e)
+            constant, wide = Counter(filter(_is_constant, both)), _width(both)
+            if 2 * constant.total() >= wide:
+                texts[k] = both, constant, wide, pages + n
+                break
+        else:
+            texts.append((e, words, width, n))
+    return [(" ".join(e), n) for e, _, _, n in texts if n >= MIN_PAGES and n >= MIN_SHARE * total]
+
+
+def _width(template: list[str]) -> int:
+    return sum(_extent(e)[1] for e in template)
+
+
+def is_text(template: str, words: list[str]) -> bool:
+    """Whether all of a line's tokens are of a template: as :func:`expression`, for long lines in steady time.
+
+    Bit i is set while the elements so far may end before token i.
+    """
+    n, at = len(words), {}
+    for i, x in enumerate(words):
+        at[x] = at.get(x, 0) | 1 << i
+    ends, full = 1, (2 << n) - 1
+
+    def after(ends: int, group: list[str]) -> int:
+        for x in group:
+            ends = (ends & at.get(x, 0)) << 1
+        return ends
+
+    for e in template.split(" "):
+        if e[0] == SLOT:
+            a, b = _extent(e)
+            ends = ends << a & full
+            more, done = b - a, 0
+            while done < more and ends:
+                k = min(done + 1, more - done)
+                ends, done = (ends | ends << k) & full, done + k
+        elif e[0] == OPTIONAL:
+            ends |= after(ends, e[1:].split("_"))
+        elif e[0] == REPEATED:
+            group, now, ends = e[1:].split("_"), ends, 0
+            while now := after(now, group) & ~ends:
+                ends |= now
+        else:
+            ends = (ends & at.get(e, 0)) << 1
+        if not ends:
+            return False
+    return bool(ends >> n & 1)
+
+
 def expression(template: str) -> str:
     """The regular expression of a template over a token string with a blank before each token."""
     out = []
@@ -372,13 +516,72 @@ def templates(lines: DataFrame, edges: DataFrame) -> DataFrame:
     return got.select(*keys, "template")
 
 
+def _fold_texts(groups: DataFrame) -> DataFrame:
+    """``groups`` (scope, h, piece, variants) with a row (template, n) for each of :func:`infer_texts`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for scope, h, piece, variants in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                rows += [(scope, h, piece, t, n) for t, n in infer_texts((v["t"], v["n"]) for v in variants)]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["scope", "h", "piece", "t", "n"])
+
+    variants = F.collect_list(F.struct("t", "n")).alias("variants")
+    return groups.groupBy("scope", "h", "piece").agg(variants).mapInArrow(run, "scope long, h long, piece long, t string, n long")
+
+
+def _texts_of(lines: DataFrame) -> DataFrame:
+    """(d, page_id, h, template): the ``texts`` that each line (d, page_id, h, t) is of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for d, page, h, t, texts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words = t.split(" ")
+                rows += [(d, page, h, x) for x in texts if is_text(x, words)]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["d", "page_id", "h", "template"])
+
+    return lines.select("d", "page_id", "h", "t", "texts").mapInArrow(run, "d long, page_id long, h long, template string")
+
+
+def long_templates(lines: DataFrame, ends: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(d, kind, h, template) of the long lines that a host's wrapper takes; several may share their ends ``h``.
+
+    Whole lines with the accepted ``ends`` are aligned, those of one host or, where the ends are shared, of all hosts,
+    in pieces as in :func:`templates`. The lines of each text found are counted like other sequences.
+    """
+    keys = ["scope", "h"]
+    ends = ends.select("d", "h", F.when(F.col("shared"), F.lit(0).cast("long")).otherwise(F.col("d")).alias("scope"))
+    some = lines.where("long").select("d", "page_id", _hash(ENDS, F.col("t")).alias("h"), "whole").join(ends, ["d", "h"])
+    some = materialize(some.select("d", "page_id", *keys, tokens(F.col("whole")).alias("t")).distinct(), "wrapper-long")
+    variants = some.groupBy(*keys, "t").agg(F.count_distinct("page_id").alias("n"))
+    pieces = variants.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PIECE).alias("pieces"))
+    got = _fold_texts(variants.join(pieces, keys).withColumn("piece", F.pmod(F.xxhash64("t"), F.col("pieces"))))
+    left = pieces.agg(F.max("pieces")).first()[0] or 0
+    while left > 1:
+        got = _fold_texts(got.withColumn("piece", F.floor(F.col("piece") / FAN_IN)))
+        left = -(-left // FAN_IN)
+    texts = got.groupBy(*keys).agg(F.collect_set("t").alias("texts"))
+    found = materialize(_texts_of(some.join(texts, keys)).withColumn("k", F.xxhash64("h", "template")), "wrapper-texts")
+    counts = _counted(found.select("d", "page_id", F.lit(1).alias("long"), F.lit(ENDS).cast("byte").alias("kind"), F.col("k").alias("h")), sizes)
+    good = accepted(counts).select("d", F.col("h").alias("k"))
+    return found.select("d", "h", "template", "k").distinct().join(good, ["d", "k"], "left_semi").select("d", F.lit(ENDS).cast("byte").alias("kind"), "h", "template")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
     """(d, entries ARRAY<STRUCT<kind, h, template>>): each host's wrapper, for :class:`Wrapper`. Hosts without one are
     left out."""
     lines = materialize(page_lines(pages), "wrapper-lines")
-    taken = materialize(accepted(materialize(host_counts(lines, host_sizes(pages)), "wrapper-counts")), "wrapper-sequences")
-    edge = F.col("kind").isin(OPEN, CLOSE)
-    every = taken.where(~edge).select("d", "kind", "h", F.lit(None).cast("string").alias("template")).unionByName(templates(lines, taken.where(edge)))
+    sizes = host_sizes(pages)
+    taken = materialize(accepted(materialize(host_counts(lines, sizes), "wrapper-counts")), "wrapper-sequences")
+    edge, ends = F.col("kind").isin(OPEN, CLOSE), F.col("kind") == ENDS
+    every = taken.where(~edge & ~ends).select("d", "kind", "h", F.lit(None).cast("string").alias("template")).unionByName(templates(lines, taken.where(edge)))
+    if not taken.where(ends).isEmpty():
+        every = every.unionByName(long_templates(lines, taken.where(ends), sizes))
     return every.groupBy("d").agg(F.collect_list(F.struct("kind", "h", "template")).alias("entries"))
 
 
@@ -410,12 +613,14 @@ class Wrapper:
 
     def __init__(self, domain: str, entries: Iterable = ()) -> None:
         self.domain = domain
-        self.line, self.short, self.ends, self.item = set(), set(), set(), set()
-        self.open, self.close = {}, {}
-        sets = {LINE: self.line, SHORT: self.short, ENDS: self.ends, ITEM: self.item}
+        self.line, self.short, self.item = set(), set(), set()
+        self.open, self.close, self.ends = {}, {}, {}
+        sets = {LINE: self.line, SHORT: self.short, ITEM: self.item}
         for e in entries:
             if e["kind"] in sets:
                 sets[e["kind"]].add(e["h"])
+            elif e["kind"] == ENDS:
+                self.ends.setdefault(e["h"], []).append(e["template"])
             else:
                 (self.open if e["kind"] == OPEN else self.close)[e["h"]] = e["template"]
 
@@ -439,8 +644,9 @@ class Wrapper:
         if len(line) > LONG_CHARS:
             if not self.ends:
                 return False
-            t = line_tokens(f"{line[:EDGE_CHARS]} {line[-EDGE_CHARS:]}")
-            return bool(t) and sequence_hash(ENDS, " ".join([*t[:LONG_EDGE_WORDS], *t[-LONG_EDGE_WORDS:]])) in self.ends
+            t = line_tokens(line)
+            texts = self.ends.get(sequence_hash(ENDS, " ".join([*t[:LONG_EDGE_WORDS], *t[-LONG_EDGE_WORDS:]])), ()) if t else ()
+            return any(is_text(x, t) for x in texts)
         t = line_tokens(line)
         n = len(t)
         if not n:

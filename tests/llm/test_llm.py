@@ -255,6 +255,56 @@ def test_wrappers_of_any_length(spark):
     assert not any(w.furniture(x) for x in (copied, "Tea", "Home made", legal + " And more of it.", " ".join(PROSE * 9)))
 
 
+def test_wrappers_align_whole_long_lines(spark):
+    r = random.Random(12)
+    ends = lambda middle: f"Dear readers of our small paper from the old town by the river, {middle} so we wish all of you a quiet week and a very warm evening at home."
+    own = [ends(" ".join(r.choice(NOUNS) + r.choice(VERBS) for _ in range(40))) for _ in range(30)]
+    notice = lambda who: ends(f"please note that {who} may not copy any text of this paper {'without the written leave of its owner ' * 5}")
+    dashes = "-" * 70 + " Nothing on these pages may be sold, printed or read aloud. " * 4 + "=" * 70
+    rows = [(i, d, t, [*p, own[i], notice(r.choice(NOUNS)), dashes]) for i, d, t, p in site(30, 0, "lorena", r)]
+    found = {x["page_id"]: x["furniture"] for x in pages.scan(page_table(spark, rows), wrappers.wrappers(page_table(spark, rows))).collect()}
+    assert all(len(p) - 3 not in found[i] and found[i][-2:] == [len(p) - 2, len(p) - 1] for i, _, _, p in rows)
+    w = inferred(page_table(spark, rows))["www.lorena.example"]
+    assert w.furniture(notice("somebody")) and not w.furniture(ends("we " * 60)) and not w.furniture(notice("somebody") + " Or so.")
+    # more variants than one piece holds
+    rows = [(i, "www.big.example", "T", [article(r), own[i % 30], notice(f"{r.choice(NOUNS)} {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}")]) for i in range(700)]
+    rows = [(i, d, t, p if i % 30 < 3 else [p[0], p[2]]) for i, d, t, p in rows]
+    w = inferred(page_table(spark, rows))["www.big.example"]
+    assert all(w.furniture(p[-1]) for *_, p in rows) and not w.furniture(ends("we " * 60))
+
+
+def test_ends_are_those_of_the_whole_line(spark):
+    r = random.Random(13)
+    bits = ["Straßenverkehrsordnungsänderung", "a", "der", "12", "1.5:30/:/:/", "—", "|", "/", ":", "…", "Тестирование", "42,", "»", " ", "x" * 70, "-" * 40]
+    lines = [" ".join(r.choice(bits) for _ in range(r.randrange(20, 90))) for _ in range(400)]
+    lines = [x for x in lines if len(x) > wrappers.LONG_CHARS]
+    df = spark.createDataFrame(list(enumerate(lines)), "i long, line string").select("i", wrappers.line_ends(F.col("line")).alias("t"))
+    n = wrappers.LONG_EDGE_WORDS
+    want = [wrappers.line_tokens(x) for x in lines]
+    assert len(lines) > 300 and {x["i"]: x["t"] for x in df.collect()} == {i: " ".join([*t[:n], *t[-n:]]) if t else "" for i, t in enumerate(want)}
+
+
+def test_texts_and_matches_of_long_lines():
+    r = random.Random(14)
+    for _ in range(300):
+        a, b = ([r.choice("abcde") for _ in range(r.randrange(25))] for _ in "ab")
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        halves, wrappers.LCS_BYTES = wrappers.LCS_BYTES, 1
+        found = [wrappers._lcs(a, b)]
+        wrappers.LCS_BYTES = halves
+        found.append(wrappers._lcs(a, b))
+        assert all(len(m) == best[-1][-1] and all(a[i] == b[j] for i, j in m) and sorted(set(m)) == m for m in found)
+        vs = [" ".join(r.choice("ab:cd") for _ in range(r.randrange(1, 9))) for _ in range(r.randrange(1, 6))]
+        t = wrappers.infer_template(vs[:3])
+        assert [wrappers.is_text(t, v.split(" ")) for v in vs] == [__import__("re").fullmatch(wrappers.expression(t), " " + v) is not None for v in vs]
+    assert wrappers.infer_texts([]) == []
+    got = wrappers.infer_texts([("a b c d e", 3), ("a b x d e", 2), ("a p q r e", 9), ("a s t u e", 1)])
+    assert got == [("a p q r e", 9), (f"a b {wrappers.SLOT}1,1 d e", 5)]
+
+
 def test_assess(spark):
     r = random.Random(6)
     rows = site(40, 0, "lorena", r)
