@@ -28,6 +28,7 @@ TRAIN_BATCH = 64
 TRAIN_POSITIONS = 48
 
 _CLOSED = re.compile(r"[.!?…][\"”»’)]*$")
+_ITEM = re.compile(r"\s*(?:[-–—•·*▪◦‣]|\(?\w{1,3}[.)]\s)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"”»’)]*\s+")
 
 
@@ -274,17 +275,26 @@ def normalized_label(label: Column, codes: DataFrame) -> Column:
     return F.coalesce(table[s], table[F.regexp_extract(s, r"^([a-z]{2,3})[-_][a-z0-9]{2,8}(?:[-_][a-z0-9]+)*$", 1)])
 
 
+#: words of a line without an end mark, and not an item of a list, that make it a sentence and not a phrase
+SENTENCE_WORDS = 5
 #: consecutive sentences that make a segment count as another language, and the probability it needs
 MIN_RUN = 2
 MIN_CONFIDENCE = 0.5
 
 
+def is_sentence(part: str) -> bool:
+    """Whether one of :func:`sentences` is a sentence and not a phrase: it has an end mark, or it is a line of
+    ``SENTENCE_WORDS`` or more words that opens with no item mark."""
+    return bool(_CLOSED.search(part)) or (len(part.split()) >= SENTENCE_WORDS and not _ITEM.match(part))
+
+
 def segments_of(net: Network, texts: list[list[str]]) -> list[tuple[list[tuple[int, int, str, float]], str | None, float, list[str]]]:
     """Runs of sentences of one language of each text (a list of lines), the language of the whole with its
-    probability, and the languages in which ``MIN_RUN`` consecutive closed sentences are written.
+    probability, and the languages in which ``MIN_RUN`` consecutive sentences are written.
 
-    A sentence takes the language of its pooled bytes; a line without an end mark is a sentence too, but not a
-    closed one. The confidence of a run or a text is the pooled probability of its language. A text without
+    A sentence takes the language of its pooled bytes, with an end mark or without. Phrases and items
+    (:func:`is_sentence`) are labelled too and belong to runs, but neither count nor part the sentences around them
+    where written languages are looked for. The confidence of a run or a text is the pooled probability of its language. A text without
     sentences has no run and no language.
     """
     parts = [[s for x in t for s in sentences(x)] for t in texts]
@@ -294,8 +304,8 @@ def segments_of(net: Network, texts: list[list[str]]) -> list[tuple[list[tuple[i
             out.append(([], None, 0.0, []))
             continue
         runs = _runs(net, scores)
-        closed = [i for i, s in enumerate(part) if _CLOSED.search(s)]
-        among = _runs(net, scores[closed]) if len(closed) < len(part) else runs
+        whole = [i for i, s in enumerate(part) if is_sentence(s)]
+        among = _runs(net, scores[whole]) if len(whole) < len(part) else runs
         written = {k for a, b, k, p in among if b - a + 1 >= MIN_RUN and p >= MIN_CONFIDENCE}
         p = np.exp(scores.mean(0))
         k = int(p.argmax())
@@ -342,7 +352,7 @@ def train_on_labels(pages: DataFrame, codes: DataFrame, per_language: int = TRAI
 def misnamed_languages(scanned: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, lang): languages written on a page that the page's label does not name.
 
-    ``scanned`` has page_id and ``written`` (languages of at least ``MIN_RUN`` consecutive closed sentences),
+    ``scanned`` has page_id and ``written`` (languages of at least ``MIN_RUN`` consecutive sentences),
     ``labels`` page_id and lang (null if the label names none).
     """
     found = scanned.select("page_id", F.explode("written").alias("lang")).distinct()

@@ -85,13 +85,14 @@ def by_host(pages: DataFrame, entries: DataFrame) -> DataFrame:
     return placed.select("d", "page_id", "domain", "title", "paragraphs", "entries")
 
 
-def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None = None) -> DataFrame:
+def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None = None, label_residue: bool = True) -> DataFrame:
     """One row per page of ``pages`` (page_id, domain, title, content.paragraphs), columns as in ``SCHEMA``.
 
     ``entries`` has each host's wrapper; ``furniture`` lists the positions of its lines. Statistics and spam
     evidence are of the page's own lines; null if it has none with words. Null paragraphs count as no lines, null
     lines as empty; rows without id are left out, rows of one host with the same id come out once. With a ``network``
-    the columns of ``SEGMENTS`` are added, of the own lines' sentences; pages with residue are not labelled.
+    the columns of ``SEGMENTS`` are added, of the own lines' sentences, those of pages with residue too unless
+    ``label_residue`` is false (for results that leave such pages out).
     """
     shared = pages.sparkSession.sparkContext.broadcast(network)
     names, types = (_COLUMNS + _SEGMENT_COLUMNS, _TYPES + _SEGMENT_TYPES) if network else (_COLUMNS, _TYPES)
@@ -116,7 +117,7 @@ def scan(pages: DataFrame, entries: DataFrame, network: langid.Network | None =
                 own = [x for x, f in zip(lines, is_furniture, strict=True) if x and not f]
                 is_residue = residue.title(title) or any(map(residue.line, lines))
                 out.append((page, len(lines), [i for i, f in enumerate(is_furniture) if f], is_residue, *_own_evidence(own)))
-                owns.append([] if is_residue else own)
+                owns.append(own if label_residue or not is_residue else [])
             columns = list(zip(*out, strict=True)) or [()] * len(_COLUMNS)
             if net:
                 found = langid.segments_of(net, owns)
@@ -268,7 +269,7 @@ def with_spam(scanned: DataFrame) -> DataFrame:
     )
 
 
-def assess(pages: DataFrame, network: langid.Network | None = None) -> DataFrame:
+def assess(pages: DataFrame, network: langid.Network | None = None, label_residue: bool = True) -> DataFrame:
     """One row per page: ``SCHEMA`` with compression (deviations below the language's median), spam, kind and kind_p,
     ``low_quality`` for pages that are neither residue nor spam but mainly list, table or junk, and ``sound`` for pages
     that are none of the three.
@@ -276,7 +277,7 @@ def assess(pages: DataFrame, network: langid.Network | None = None) -> DataFrame
     Doubled pages come out once. The pass over the texts is written to the shared folder, as the statistics
     of all pages are needed before any page can be judged.
     """
-    scanned = with_spam(materialize(scan(pages, wrappers(pages), network), "page-scan"))
+    scanned = with_spam(materialize(scan(pages, wrappers(pages), network, label_residue), "page-scan"))
     judged = with_quality(scanned, fit_quality(scanned))
     low = F.coalesce(F.col("kind") != "prose", F.lit(False)) & ~F.col("residue") & ~F.col("spam")
     return judged.withColumn("low_quality", low).withColumn("sound", ~(F.col("residue") | F.col("spam") | low))

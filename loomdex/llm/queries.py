@@ -25,14 +25,15 @@ def p1_articles(spark: SparkSession, sf: str) -> DataFrame:
     return lines.select("page_id", own.alias("paragraphs"), F.array_join(own, " ").alias("full_text"))
 
 
-def _with_languages(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _with_languages(spark: SparkSession, sf: str, label_residue: bool = True) -> tuple[DataFrame, DataFrame]:
     src, codes = table(spark, sf, "pages_index"), table(spark, sf, "language_codes")
     labels = src.select("page_id", langid.normalized_label(F.col("language"), codes).alias("lang"))
-    return pages.assess(src, langid.train_on_labels(src, codes)), labels
+    return pages.assess(src, langid.train_on_labels(src, codes), label_residue), labels
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    assessed, labels = _with_languages(spark, sf)
+    # pages with residue are not sound, so their languages are not asked for here
+    assessed, labels = _with_languages(spark, sf, label_residue=False)
     return langid.misnamed_languages(assessed.where("sound"), labels)
 
 

@@ -422,6 +422,23 @@ def test_language_network(spark):
     assert langid.train([]).languages == ["und"]
 
 
+def test_sentences_without_end_marks_and_residue_pages(spark):
+    net = langid.train([(k, t) for k, ts in LANGS.items() for t in ts], steps=60)
+    russian = ["Хор собрался в пятницу вечером и пел целый час", "Водитель сказал, что дорога была закрыта"]
+    written = lambda lines: langid.segments_of(net, [lines])[0][3]
+    assert written([PROSE[0], *russian]) == ["eng", "rus"] == written([PROSE[0], russian[0] + ".", russian[1]])
+    # phrases and items are none, and do not part sentences
+    assert written([PROSE[0], "Хор собрался", "в пятницу вечером"]) == ["eng"] == written([PROSE[0], *("- " + x for x in russian), "2) " + russian[0]])
+    assert written([PROSE[0], russian[0] + ".", "at home", russian[1] + "."]) == ["eng", "rus"]
+    rows = [(1, "x.example", "T", ["Page not found. Please try again later.", *PROSE[:2], *LANGS["rus"]]), (2, "x.example", "T", PROSE), (3, "x.example", "{{ title }}", ["Home"])]
+    df = page_table(spark, rows)
+    got = {x["page_id"]: x for x in pages.scan(df, wrappers.wrappers(df), net).collect()}
+    assert got[1]["residue"] and {x["lang"] for x in got[1]["segments"]} == {"eng", "rus"} and got[1]["page_lang"] and "rus" in got[1]["written"]
+    assert got[3]["residue"] and got[3]["page_lang"] and len(got[3]["segments"]) == 1
+    short = {x["page_id"]: x for x in pages.scan(df, wrappers.wrappers(df), net, label_residue=False).collect()}
+    assert short[2]["written"] == got[2]["written"] == ["eng"] and short[1]["page_lang"] is None
+
+
 # --- problem 10 -----------------------------------------------------------------------------------------
 
 def test_boosting_learns_a_rule():
