@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomdex import queries as core
-from loomdex.operators import search
+from loomdex.functions import analysis
+from loomdex.operators import batch_search, search
 from loomdex.session import shared_dir
 
 CONTENT = "struct<h1:array<string>,h2:array<string>,h3:array<string>,h4:array<string>,h5:array<string>,h6:array<string>,paragraphs:array<string>,full_text:string>"
@@ -59,3 +60,30 @@ def test_quoted_needs_no_index(spark, corpus):
     assert len(want) > 20 and sorted(map(tuple, got)) == sorted(map(tuple, want))
     source = sum(f.stat().st_size for f in os.scandir(f"{corpus}/pages_index.parquet"))
     assert wrote < source, (wrote, source)
+
+
+def test_analyzed_needs_no_index(spark, corpus):
+    got, wrote = run(spark, corpus, "bm25_analyzed")
+    ix = index_of(spark, corpus)
+    asked = spark.read.parquet(f"{corpus}/search_queries.parquet").where("trim(q) <> ''").select(F.col("query_id").alias("query"), F.col("q").alias("asked")).distinct()
+    terms = search.request_terms(asked, analyzed=True, fuzzy=ix.terms).localCheckpoint()
+    assert terms.where("variant > 0").count() > 3 and terms.where("variant = 0").groupBy("query", "pos").count().where("count > 1").count() > 0
+    urls = spark.read.parquet(f"{corpus}/pages_index.parquet").dropDuplicates(["page_id"]).select(F.col("page_id").alias("doc"), "url")
+    scored = search.score(ix, terms).join(urls, "doc").withColumn("exact", F.col("score")).withColumn("score", F.round("score", 9))
+    want = search.top(scored, 10).select("query", "rank", "doc", F.round("exact", 5)).collect()
+    assert len(want) > 50 and {r["rank"] for r in want} == set(range(1, 11))
+    # urls repeat among the pages: where score and url are equal the page is open
+    page = {r["doc"]: r["url"] for r in urls.collect()}
+    plain = lambda rows: sorted((q, n, page[d], s) for q, n, d, s in map(tuple, rows))
+    assert plain(got) == plain(want)
+    source = sum(f.stat().st_size for f in os.scandir(f"{corpus}/pages_index.parquet"))
+    assert wrote < source, (wrote, source)
+
+
+def test_near_is_fuzziness():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("abc", k=rnd.randrange(2, 9))) for _ in range(300)]
+    near = batch_search.Near(set(words[:30]))
+    for w in words:
+        want = any(w[:2] == a[:2] and analysis.edit_limit(a) and analysis.edits(a, w, analysis.edit_limit(a)) <= analysis.edit_limit(a) for a in words[:30])
+        assert near(w) == want
